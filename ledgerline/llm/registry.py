@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and the SQL they are held against."""
 
-from ledgerline.llm import pii, token_counts
+from ledgerline.llm import byte_bpe, pii, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_token_counts": token_counts.query,
+    "op6_byte_bpe": byte_bpe.query,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,

@@ -51,7 +51,10 @@ class Counter(dict):
     def prove(self, pieces: list[str]) -> dict[str, int]:
         """The vocabulary strings, written as pre-tokens, that encode alone as one token."""
         words = [" " + p[1:] for p in pieces if p.startswith(SIGN) and len(p) > 1 and SIGN not in p[1:]]
-        return {w: 1 for w, ids in zip(words, self.processor.encode([w[1:] for w in words], num_threads=1)) if len(ids) == 1}
+        whole = {w: 1 for w, ids in zip(words, self.processor.encode([w[1:] for w in words], num_threads=1)) if len(ids) == 1}
+        # A last space is the sign alone; the library adds it to no empty text, so count it in a longer one.
+        alone = len(self.processor.encode("a ")) - len(self.processor.encode("a"))
+        return whole | {" ": alone, SIGN: alone}
 
     def __missing__(self, pre_token: str) -> int:
         if len(self) > MEMO:
