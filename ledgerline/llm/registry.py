@@ -1,12 +1,15 @@
 """The registered queries of this subpackage and the SQL they are held against."""
 
-from ledgerline.llm import byte_bpe, pii, token_counts
+from ledgerline.llm import byte_bpe, mixing, pii, token_counts, url_filter
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_token_counts": token_counts.query,
+    "op4_url_filter": url_filter.query,
     "op6_byte_bpe": byte_bpe.query,
+    "op8_mixing": mixing.query,
 }
 ORACLES = {
     "op1_pii": pii.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
 }
