@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and the SQL they are held against."""
 
-from ledgerline.llm import byte_bpe, mixing, pii, token_counts, topk, url_filter, vector_dedup
+from ledgerline.llm import byte_bpe, mixing, pii, token_counts, topk, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_token_counts": token_counts.query,
     "op4_url_filter": url_filter.query,
+    "op5_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_topk": topk.query,
     "op8_mixing": mixing.query,
