@@ -18,7 +18,8 @@ With MIN_DEPTH 3 and 24 trees, a pair at the threshold of 0.75 shares no prefix
 probability (1 - 0.75**3)**24 = 2e-6.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; a text of
-fewer words than a shingle is one shingle; rows that repeat an id are one document of the component;
+fewer words than a shingle is one shingle; rows that repeat an id are one document of the component; a row without an id links with nothing and
+is kept;
 ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -271,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions = shuffle_partitions(docs.sparkSession)
     signed = cut(_signed(docs, id_col, text_col), "signatures")
     same = ["n", "sum", "xor"]
-    classes = signed.where("n > 0").groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("first")).select(*same, "first.id", "first.sig")
+    known_ids = signed.where("n > 0 and id is not null")
+    classes = known_ids.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("first")).select(*same, "first.id", "first.sig")
     classes = cut(classes, "classes")
     pairs = cut(_neighbours(classes, partitions, least_agreement(percent)), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -296,9 +298,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = components(links.toDF("u", "v"))
     # Every row follows its class, every class its component.
     known = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    rows = signed.where("n > 0").join(known, same).select("id", "n", "component")
-    every = rows.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    rows = known_ids.join(known, same).select("id", "n", "component")
+    every = rows.unionByName(signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the row of the smallest id; of rows that repeat an id, one."""
+    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    chosen = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return chosen.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

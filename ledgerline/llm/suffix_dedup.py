@@ -22,7 +22,8 @@ anywhere, so suffixes are first brought together that can match at all:
 Content is compared by 64-bit hashes within equal 64-bit anchor hashes in step 2, and byte for byte in
 step 3.
 
-Defined results: a null text counts as empty; texts shorter than ``length`` are kept; rows that repeat
+Defined results: a null text counts as empty; a row without an id is kept whole and matches nothing;
+ texts shorter than ``length`` are kept; rows that repeat
 an id are one document to the order of starts, so equal strings at the same id and start keep each
 other; an empty table gives an empty result; columns besides id and text are ignored.
 """
@@ -307,7 +308,7 @@ def spans(spots: np.ndarray, length: int = LENGTH) -> np.ndarray:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, twin, spots): repeated windows of each text that has any; twin tells texts of one id apart."""
     partitions = shuffle_partitions(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col)
+    rows = _keyed(docs, id_col, text_col).where("id is not null")
     sifted = cut(_sifted(_anchored(rows.where(F.octet_length("text") >= length), length), partitions), "stretches")
     halves = _halves(rows, sifted.where("not whole").select("id", "twin", "spot"), length)
     found = _factored(halves, partitions, length).unionByName(sifted.where("whole").select("id", "twin", "spot"))

@@ -12,9 +12,11 @@ smallest linked id reachable within the two tiles.  Linked pairs themselves are
 
 The axes come from a bounded sample (AXES_SAMPLE rows); they change the speed, never the links.
 
-Defined results: a row whose label or vector is null, or whose vector is empty, zero or holds null or
-non-finite components, links with nothing and is its own component; vectors of different length do
-not link; n_links counts rows, so repeated ids count each time.
+Defined results: a row whose id, label or vector is null, or whose vector is empty, zero or holds null or
+non-finite components, links with nothing and is its own
+component; vectors of different length do
+not link; n_links counts rows, so repeated ids count each time; an id
+names one node, so rows that repeat it share a component.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     joined = usual.join(known, ["label", "vector"]).select("id", "n_links", "component_id")
     alone = rows.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = joined.unionByName(alone)
-    return every.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return every.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
