@@ -1 +1 @@
-
+"""Column -> Column functions: text, missing values, numbers."""
