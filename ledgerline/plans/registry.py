@@ -1,4 +1,6 @@
 """All queries of the analytics library and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerline.plans import cleaning, linking, profiling, sampling, statistics, texts  # noqa: F401
+from ledgerline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
