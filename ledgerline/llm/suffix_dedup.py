@@ -160,20 +160,42 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchored(rows: DataFrame, length: int) -> DataFrame:
-    """One row per stretch: anchor, content, id, twin, spot = start * 256 + windows."""
+    """One row per stretch: anchor, content, id, twin, spot = start * 256 + windows, known.
+
+    Stretches equal to an earlier one of the same batch are known repeats before any shuffle: they get a
+    key of their own in place of their anchor, so a string that is everywhere is no hot key.
+    """
+
+    def combined(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """True for rows whose anchor and content an earlier start (id, start) of the batch has too."""
+        key = anchor ^ (content * _C[2])
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        some = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+        some = some[np.lexsort((start[some], ids[some], content[some], anchor[some]))]
+        known = np.zeros(len(key), bool)
+        if len(some):
+            new = np.append(True, (anchor[some[1:]] != anchor[some[:-1]]) | (content[some[1:]] != content[some[:-1]]))
+            lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+            known[some] = (ids[some] != ids[lead]) | (start[some] != start[lead])
+        return known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            ids, twins = batch.column("id"), batch.column("twin")
+            ids, twins = batch.column("id").to_numpy(), batch.column("twin").to_numpy()
+            found = []
             for first, data, ends in _batches(texts):
                 doc, start, n, _, anchor, content = stretches(data, ends, length)
-                if len(doc):
-                    at = pa.array(doc + first)
-                    spot = (start - np.concatenate([[0], ends[:-1]])[doc]) * 256 + n
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), ids.take(at), twins.take(at), pa.array(spot)], names=["anchor", "content", "id", "twin", "spot"])
+                begin = np.concatenate([[0], ends[:-1]])[doc]
+                found.append((anchor, content, ids[doc + first], twins[doc + first], (start - begin) * 256 + n))
+            if found:
+                anchor, content, own, twin, spot = (np.concatenate(c) for c in zip(*found))
+                known = combined(anchor, content, own, spot >> 8)
+                anchor = np.where(known, _mix(own.view(np.uint64) * _C[0] + spot.view(np.uint64)), anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(own), pa.array(twin), pa.array(spot), pa.array(known)], names=["anchor", "content", "id", "twin", "spot", "known"])
 
-    return rows.mapInArrow(run, "anchor long, content long, id long, twin int, spot long")
+    return rows.mapInArrow(run, "anchor long, content long, id long, twin int, spot long, known boolean")
 
 
 def _sifted(anchored: DataFrame, partitions: int) -> DataFrame:
@@ -183,8 +205,14 @@ def _sifted(anchored: DataFrame, partitions: int) -> DataFrame:
         held: list[np.ndarray] | None = None  # the first row of the anchor at hand, while it has one content
         anchor = content = first = None
         for batch in batches:
+            known = batch.column("known").to_numpy(zero_copy_only=False)
             c = [batch.column(n).to_numpy() for n in ("anchor", "content", "id", "twin", "spot")]
+            if known.any():
+                yield _sift_rows([x[known] for x in c], True)
+                c = [x[~known] for x in c]
             n = len(c[0])
+            if not n:
+                continue
             prior_a = np.append(anchor if anchor is not None else ~c[0][0], c[0][:-1])
             prior_c = np.append(content if content is not None else ~c[1][0], c[1][:-1])
             new_a = c[0] != prior_a
