@@ -13,7 +13,7 @@ SMALL = 32 << 20
 
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if its estimated size is under the limit; else unchanged (shuffled, skew handled by AQE)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
 
 
