@@ -108,7 +108,8 @@ def dictionary_match(df: DataFrame, key: str, texts: Sequence[str], dictionary:
     term would; each row's distinct runs only.
     """
     words = F.concat(*(T.tokens(c) for c in texts)) if len(texts) == 1 else F.flatten(F.array(*(F.concat(T.tokens(c), F.array(F.lit("|"))) for c in texts)))
-    runs = df.select(key, F.explode(F.array_distinct(ngrams(words, most_words))).alias("term"))
+    # The words are a column of their own, so they are split once and not for every run.
+    runs = df.select(key, words.alias("_words")).select(key, F.explode(F.array_distinct(ngrams(F.col("_words"), most_words))).alias("term"))
     terms = unique_by(dictionary.select(F.lower("term").alias("term"), "value"), ["term"]).where(F.length("term") >= shortest)
     return runs.join(small(terms), "term").select(key, "term", "value").distinct()
 

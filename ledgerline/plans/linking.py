@@ -248,7 +248,9 @@ def _(t: Tables) -> DataFrame:
 @query(
     "dictionary_match",
     r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM w),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+n AS (SELECT doc_id, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM u),
+g AS (SELECT doc_id, x AS term FROM n UNION SELECT doc_id, x || ' ' || y FROM n UNION SELECT doc_id, x || ' ' || y || ' ' || z FROM n),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '') AS w FROM benchmark),
 d AS (SELECT term, min(value) AS value FROM (SELECT w[1] || ' ' || w[2] AS term, item_id AS value FROM b UNION ALL SELECT w[3], item_id FROM b) WHERE length(term) >= 3 GROUP BY 1)
 SELECT doc_id, term, value FROM g JOIN d USING (term)""",
