@@ -11,8 +11,9 @@
 3. Candidates whose signatures agree too little for the threshold (SLACK standard deviations) are
    dropped.  The full sets of the rest are fetched once and pairs confirmed on them: first each class
    with its likeliest partner, then, between components that are still apart, all other candidates.
-4. Components that stay apart but share a prefix in some tree are settled exactly: all their pairs
-   inside that prefix are candidates too (again dropped only where signatures rule the link out).
+4. Components that stay apart but meet under a prefix of some tree are settled exactly.  Classes of
+   different components whose signatures agree enough form families; a family's classes meet tile by
+   tile with their full sets, and each pair of tiles returns only the links that unite components.
 
 With MIN_DEPTH 3 and 24 trees, a pair at the threshold of 0.75 shares no prefix in any tree with
 probability (1 - 0.75**3)**24 = 2e-6.
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cached, cut, shuffle_partitions, table
 from ledgerline.llm.components import components
+from ledgerline.llm.vector_dedup import smallest
 
 WORDS, PERCENT = 5, 75
 TREES, MIN_DEPTH, DEPTH = 24, 3, 6
 SLACK = 5.5
-#: Classes of a tile where pairs of components that share a prefix are compared.
+#: Classes of a tile where classes of different components are compared.
 TILE = 2048
 SEED = 20_240_229
 MEMO = 500_000
@@ -72,34 +74,33 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
-    total = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        total = _mix(total + np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(total)])
     # Shorter texts are another kind of set: their length goes in.
-    return np.unique(total if n == WORDS else _mix(total + np.uint64(n)))
+    total = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        total += h[i : i + len(total)] * _PLACES[i]
+    return np.unique(_mix(total))
+
+
+#: Odd multipliers of the words of a shingle, by place.
+_PLACES = np.random.default_rng(SEED + 1).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
-    return (r.integers(0, 2**63, TREES * MIN_DEPTH, np.uint64) * np.uint64(2) + np.uint64(1))[:, None], r.integers(0, 2**63, TREES * MIN_DEPTH, np.uint64)[:, None]
+    return (r.integers(0, 2**31, TREES * MIN_DEPTH, np.uint32) * np.uint32(2) + np.uint32(1))[:, None], r.integers(0, 2**32, TREES * MIN_DEPTH, np.uint32)[:, None]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each of the TREES * MIN_DEPTH permutations of 32-bit hashes."""
     a, b = cached("minhash multipliers", _multipliers)
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096] * a
-        part ^= part >> np.uint64(32)
-        part *= a
+    out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        part = short[at : at + 512] * a
+        part ^= part >> np.uint32(15)
         part += b
         np.minimum(out, part.min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
-
-
-def tree_key(sig: np.ndarray, tree: int) -> bytes:
-    """The sort key of a tree: the tree's number, its own values, then those of the trees after it."""
-    at = (tree * MIN_DEPTH + np.arange(DEPTH)) % len(sig)
-    return bytes([tree]) + sig[at].astype(">u4").tobytes()
+    return out
 
 
 def least_agreement(percent: int = PERCENT) -> int:
@@ -109,31 +110,33 @@ def least_agreement(percent: int = PERCENT) -> int:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sum of hashes, xor of hashes, signature."""
+    """id, n, sum and xor of hashes, signature (values as big-endian bytes) and marks (a byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             sums = [int(s.sum(dtype=np.uint64)) - 2**63 if len(s) else 0 for s in sets]
-            xors = [int(np.bitwise_xor.reduce(_mix(s))) - 2**63 if len(s) else 0 for s in sets]
-            sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n", "sum", "xor", "sig"])
+            xors = [int(np.bitwise_xor.reduce(s * _PLACES[9])) - 2**63 if len(s) else 0 for s in sets]
+            sigs = [signature(s) if len(s) else None for s in sets]
+            # One byte of each value is enough to compare signatures by; the keys of the trees hold more.
+            made = [pa.array([None if s is None else f(s) for s in sigs], pa.binary()) for f in (lambda s: s.astype(">u4").tobytes(), lambda s: s.astype(np.uint8).tobytes())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), *made], names=["id", "n", "sum", "xor", "sig", "marks"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, sum long, xor long, sig binary")
+    return rows.mapInArrow(run, "id long, n long, sum long, xor long, sig binary, marks binary")
+
+
+def _trees(classes: DataFrame, depth: int, *others: str) -> DataFrame:
+    """One row per class and tree: the tree's number and its first ``depth`` values as a key that sorts by them."""
+    rows = classes.select("id", *others, "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    # A tree's own MIN_DEPTH values, then those of the trees after it.
+    key = F.substr(F.concat("sig", "sig"), F.col("tree") * (4 * MIN_DEPTH) + 1, F.lit(4 * depth))
+    return rows.select("id", *others, "tree", key.alias("key"))
 
 
 def _neighbours(classes: DataFrame, partitions: int, least: int) -> DataFrame:
     """Candidate pairs (a, b, agree) from all trees: sorted neighbours with a common prefix of MIN_DEPTH values."""
-    prefix = 1 + 4 * MIN_DEPTH
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sigs = batch.column(0).to_pylist(), [np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]
-            # One byte of each value is enough to compare signatures by; the keys hold more.
-            marks = [s.astype(np.uint8).tobytes() for s in sigs]
-            for tree in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([tree_key(s, tree) for s in sigs], pa.binary()), pa.array(marks, pa.binary())], names=["id", "key", "marks"])
+    prefix = 4 * MIN_DEPTH
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,38 +145,38 @@ def _neighbours(classes: DataFrame, partitions: int, least: int) -> DataFrame:
         first = last = None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "marks"))):
+            for row in zip(batch.column("id").to_pylist(), batch.column("tree").to_pylist(), batch.column("key").to_pylist()):
                 if last is None:
                     first = row
-                elif row[1][:prefix] == last[1][:prefix]:
-                    out.append((last[0], row[0], agreement(last[2], row[2]), None, None, None))
+                elif row[1] == last[1] and row[2][:prefix] == last[2][:prefix]:
+                    out.append((last[0], row[0], None, None, None))
                 last = row
             yield _pairs(out)
         if first is not None:
-            yield _pairs([(first[0], None, None, 2 * task, first[1][:prefix], first[2]), (last[0], None, None, 2 * task + 1, last[1][:prefix], last[2])])
+            yield _pairs([(first[0], None, 2 * task, first[1], first[2][:prefix]), (last[0], None, 2 * task + 1, last[1], last[2][:prefix])])
 
-    rows = classes.select("id", "sig").mapInArrow(keys, "id long, key binary, marks binary")
-    found = cut(rows.repartitionByRange(partitions, "key", "id").sortWithinPartitions("key", "id").mapInArrow(scan, "a long, b long, agree int, place long, prefix binary, marks binary"), "forest-pairs")
+    rows = _trees(classes, DEPTH)
+    found = cut(rows.repartitionByRange(partitions, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(scan, "a long, b long, place long, tree int, prefix binary"), "forest-pairs")
     # Two rows a task: the ends, joined with the next task that had rows.
     ends = found.where("place is not null")
     nearby = Window.orderBy("place")
-    ahead = ends.select("a", "place", "prefix", "marks", *(F.lead(c).over(nearby).alias(f"next_{c}") for c in ("a", "place", "prefix", "marks")))
-    same = F.aggregate(F.zip_with(_marks("marks"), _marks("next_marks"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    joined = ahead.where("place % 2 = 1 and prefix = next_prefix").select("a", F.col("next_a").alias("b"), same.alias("agree"))
-    pairs = found.where("place is null").select("a", "b", "agree").unionByName(joined)
-    return pairs.where(f"a != b and agree >= {least}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").distinct()
-
-
-def _marks(name: str):
-    return F.transform(F.sequence(F.lit(1), F.lit(2 * TREES * MIN_DEPTH - 1), F.lit(2)), lambda i: F.substr(F.hex(name), i, F.lit(2)))
-
+    ahead = ends.select("a", "place", "tree", "prefix", *(F.lead(c).over(nearby).alias(f"next_{c}") for c in ("a", "tree", "prefix")))
+    joined = ahead.where("place % 2 = 1 and tree = next_tree and prefix = next_prefix").select("a", F.col("next_a").alias("b"))
+    both = found.where("place is null").select("a", "b").unionByName(joined).where("a != b")
+    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda side: classes.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}"))
+    marked = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(batch.column("marks_a").to_pylist(), batch.column("marks_b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int32())], names=["a", "b", "agree"])
 
-def agreement(x: bytes, y: bytes) -> int:
-    return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum())
+    return marked.mapInArrow(agree, "a long, b long, agree int").where(f"agree >= {least}")
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("place", pa.int64()), ("prefix", pa.binary()), ("marks", pa.binary()))
+    kinds = (("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("tree", pa.int32()), ("prefix", pa.binary()))
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
@@ -213,58 +216,125 @@ def _renamed(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca != cb")
 
 
-def _apart(classes: DataFrame, component: DataFrame, partitions: int, least: int) -> DataFrame:
-    """All pairs (a, b) of different components that share a tree's prefix and may reach the threshold.
+class Side:
+    """The classes of a tile, ordered by component."""
 
-    Prefixes met by one component only - nearly all - go in a grouped aggregation.  The rest are compared
-    in tiles of TILE classes, so a prefix shared by very many is spread over its pairs of tiles; only
-    pairs whose signatures agree enough leave a tile.
-    """
-    prefix = 1 + 4 * MIN_DEPTH
+    def __init__(self, rows: list[tuple]) -> None:
+        rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        self.ids, self.comps = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.marks = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
+        self.sets = [np.frombuffer(r[3], np.uint64) for r in rows] if len(rows[0]) > 3 else None
+        begins = np.flatnonzero(np.append(True, self.comps[1:] != self.comps[:-1]))
+        # Stretches of at most 32 rows of one component.
+        self.stretches = [(k, min(k + 32, end)) for start, end in zip(begins, np.append(begins[1:], len(rows))) for k in range(start, end, 32)]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            sigs = [np.frombuffer(s, np.uint32) for s in batch.column(2).to_pylist()]
-            marks = pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary())
-            for tree in range(TREES):
-                of = [xxhash.xxh3_64_intdigest(tree_key(s, tree)[:prefix]) - 2**63 for s in sigs]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int64()), marks], names=["id", "comp", "bucket", "marks"])
-
-    def compare(rows: list[tuple], low: int, high: int) -> pa.RecordBatch:
-        sides = [[r for r in rows if r[0] == side] for side in (low, high)]
-        found: list[np.ndarray] = []
-        if all(sides):
-            (ia, ca, ma), (ib, cb, mb) = ((np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.stack([np.frombuffer(r[3], np.uint8) for r in x])) for x in sides)
-            for at in range(0, len(ia), 64):
-                s = slice(at, at + 64)
-                agree = (ma[s, None, :] == mb[None, :, :]).sum(axis=2)
-                i, j = np.nonzero((agree >= least) & (ca[s, None] != cb[None, :]) & ((ia[s, None] < ib[None, :]) | (low != high)))
-                found.append(np.stack([ia[s][i], ib[j]]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+def _near_pairs(a: Side, b: Side, same: bool, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of different components whose marks agree enough; each pair of a tile with itself once."""
+    for start, end in a.stretches:
+        # Both sides are ordered by component, so the other components are what lies before and after.
+        low, high = np.searchsorted(b.comps, a.comps[start], "left"), np.searchsorted(b.comps, a.comps[start], "right")
+        for at, to in ((high, len(b.ids)),) if same else ((0, low), (high, len(b.ids))):
+            if at < to:
+                i, j = np.nonzero((a.marks[start:end, None, :] == b.marks[None, at:to, :]).sum(axis=2, dtype=np.uint8) >= least)
+                if len(i):
+                    yield i + start, j + at
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tiled(rows: DataFrame, group: str, others: tuple[str, ...], partitions: int, solve, schema: str) -> DataFrame:
+    """Each pair of tiles of a group in one task: ``solve(Side, Side, same)`` makes arrays of two id columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+
+        def out() -> pa.RecordBatch:
+            sides = [[r[1:] for r in held if r[0] == side] for side in at[1:]]
+            made = (np.empty(0, np.int64),) * 2
+            if all(sides):
+                a = Side(sides[0])
+                made = solve(a, a if at[1] == at[2] else Side(sides[1]), at[1] == at[2])
+            return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=[c.split()[0] for c in schema.split(", ")])
+
         for batch in batches:
-            for bucket, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "tile", "id", "comp", "marks"))):
-                if (bucket, low, high) != at:
+            for row in zip(*(batch.column(c).to_pylist() for c in (group, "low", "high", "tile", "id", "comp", *others))):
+                if row[:3] != at:
                     if held:
-                        yield compare(held, at[1], at[2])
-                    at, held = (bucket, low, high), []
-                held.append(tuple(row))
+                        yield out()
+                    at, held = row[:3], []
+                held.append(row[3:])
         if held:
-            yield compare(held, at[1], at[2])
+            yield out()
+
+    tiled = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    dealt = cells.select(group, "low", "high", "tile", "id", "comp", *others).repartition(partitions, group, "low", "high").sortWithinPartitions(group, "low", "high")
+    return dealt.mapInArrow(run, schema)
+
+
+def _families(classes: DataFrame, component: DataFrame, partitions: int, least: int) -> DataFrame:
+    """(id, comp, family) of classes that meet a class of another component under a tree's prefix and may link to it.
+
+    Prefixes met by one component only - nearly all - go in a grouped aggregation.  The rest are compared
+    in tiles, so a prefix shared by very many is spread over its pairs of tiles; a pair of tiles returns a
+    row per class at most.
+    """
+
+    def solve(a: Side, b: Side, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        shift = 0 if same else len(a.ids)
+        ids = a.ids if same else np.concatenate([a.ids, b.ids])
+        found = [(i, j + shift) for i, j in _near_pairs(a, b, same, least)]
+        if not found:
+            return (np.empty(0, np.int64),) * 2
+        i, j = (np.concatenate(x) for x in zip(*found))
+        hit = np.unique(np.concatenate([i, j]))
+        return ids[hit], smallest(len(ids), i, j, ids)[hit]
 
     of = classes.join(component, classes["id"] == component["node"], "left").select("id", F.coalesce("component", "id").alias("comp"), "sig")
-    rows = of.mapInArrow(keys, "id long, comp long, bucket long, marks binary")
+    rows = _trees(of, MIN_DEPTH, "comp").select("id", "comp", F.xxhash64("tree", "key").alias("bucket"))
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("n")).where("first != last")
-    tiles = F.ceil(F.col("n") / TILE)
-    tiled = rows.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    dealt = cells.select("bucket", "low", "high", "tile", "id", "comp", "marks").repartition(partitions, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    met = rows.join(mixed.select("bucket", F.ceil(F.col("n") / TILE).alias("tiles")), "bucket").join(classes.select("id", "marks"), "id")
+    near = cut(_tiled(met, "bucket", ("marks",), partitions, solve, "id long, root long"), "families")
+    family = components(near.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    return family.join(of.select("id", "comp"), F.col("node") == F.col("id")).select("id", "comp", F.col("component").alias("family"))
+
+
+def _settled(families: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int, least: int, percent: int) -> DataFrame:
+    """Links (a, b) that unite components of a family, from full sets of all its classes."""
+
+    def solve(a: Side, b: Side, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        found: list[tuple[int, int]] = []
+        every = a.sets if same else a.sets + b.sets
+        codes = np.unique(np.concatenate(every), return_inverse=True)[1]
+        ends = np.cumsum([len(s) for s in every])
+        shift = 0 if same else len(a.ids)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        flags = np.zeros(len(codes), bool)
+        for i, j in _near_pairs(a, b, same, least):
+            for k in np.unique(i):
+                others = j[i == k]
+                mine = codes[ends[k] - len(a.sets[k]) : ends[k]]
+                flags[mine] = True
+                for n in others:
+                    x, y = root(int(a.comps[k])), root(int(b.comps[n]))
+                    if x != y:
+                        theirs = codes[ends[n + shift] - len(b.sets[n]) : ends[n + shift]]
+                        shared = int(np.count_nonzero(flags[theirs]))
+                        if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
+                            parent[max(x, y)] = min(x, y)
+                            found.append((a.ids[k], b.ids[n]))
+                flags[mine] = False
+        x = np.array(found, np.int64).reshape(-1, 2)
+        return x[:, 0], x[:, 1]
+
+    tiles = families.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    rows = families.join(tiles, "family").join(classes.select("id", "marks"), "id").join(sets, "id")
+    return _tiled(rows, "family", ("marks", "set"), partitions, solve, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -273,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(_signed(docs, id_col, text_col), "signatures")
     same = ["n", "sum", "xor"]
     known_ids = signed.where("n > 0 and id is not null")
-    classes = known_ids.groupBy(*same).agg(F.min(F.struct("id", "sig")).alias("first")).select(*same, "first.id", "first.sig")
+    classes = known_ids.groupBy(*same).agg(F.min(F.struct("id", "sig", "marks")).alias("first")).select(*same, "first.id", "first.sig", "first.marks")
     classes = cut(classes, "classes")
     pairs = cut(_neighbours(classes, partitions, least_agreement(percent)), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -288,13 +358,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = _renamed(pairs.join(likely, ["a", "b"], "left_anti"), component)
     links = links.unionByName(cut(_confirmed(rest, sets, percent), "links-rest"))
     component = components(links.toDF("u", "v"))
-    # Components that share a prefix but no link so far: settled on all their pairs.
-    rest = _apart(classes, component, partitions, least_agreement(percent))
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "candidates-apart")
-    if not rest.isEmpty():
-        missing = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id", "left_anti")
+    # Components that meet under a prefix without a link so far.
+    families = cut(_families(classes, component, partitions, least_agreement(percent)), "family-members")
+    if not families.isEmpty():
+        missing = families.select("id").join(ids, "id", "left_anti")
         sets = sets.unionByName(cut(_sets(docs, missing, id_col, text_col).dropDuplicates(["id"]), "shingle-sets"))
-        links = links.unionByName(cut(_confirmed(rest, sets, percent), "links-apart"))
+        links = links.unionByName(cut(_settled(families, classes, sets, partitions, least_agreement(percent), percent), "links-settled"))
         component = components(links.toDF("u", "v"))
     # Every row follows its class, every class its component.
     known = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
