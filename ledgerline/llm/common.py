@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
@@ -34,9 +37,48 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cached(key: str, make: Callable[[], Any]) -> Any:
-    """One object per Python process: worker processes outlive tasks, functions sent by value don't."""
+def cached(key: str, make: Callable[[], Any], most: int = 3) -> Any:
+    """One object per Python process: worker processes outlive tasks, functions sent by value don't.
+
+    The ``most`` objects used last stay; others make room, so stages that follow each other in one
+    process don't add up.
+    """
     store = sys.__dict__.setdefault("_ledgerline_cached", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    store[key] = found = store.pop(key) if key in store else make()
+    while len(store) > most:
+        store.pop(next(iter(store)))
+    return found
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class Bloom:
+    """A fixed 8 MB filter of ids: always true for those in it, rarely true for others.
+
+    It only saves work before an exact join.  Its size is fixed, so it may travel to every task whatever
+    the size of the table behind it; with very many ids it lets more through, never less.
+    """
+
+    WORDS, HASHES = 1 << 20, 4
+
+    def __init__(self, ids: DataFrame, column: str = "id") -> None:
+        spot = F.xxhash64(column, F.col("_k"))
+        spots = ids.select(column, F.explode(F.sequence(F.lit(0), F.lit(self.HASHES - 1))).alias("_k")).select(spot.alias("h"))
+        word, bit = F.pmod(F.shiftright("h", 6), F.lit(self.WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+        words = spots.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        bits = np.zeros(self.WORDS, np.int64)
+        bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def spots(self, column: str = "id") -> Column:
+        """The hashes that ``passed`` wants, as an array column."""
+        return F.array(*(F.xxhash64(column, F.lit(k)) for k in range(self.HASHES)))
+
+    def passed(self, spots: pa.Array) -> np.ndarray:
+        h = spots.flatten().to_numpy().reshape(-1, self.HASHES)
+        return ((self.bits.value[(h >> 6) % self.WORDS] >> (h & 63)) & 1).all(axis=1)

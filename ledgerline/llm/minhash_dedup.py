@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cached, cut, shuffle_partitions, table
+from ledgerline.llm.common import Bloom, cached, cut, shuffle_partitions, slices, table
 from ledgerline.llm.components import components
 from ledgerline.llm.vector_dedup import smallest
 
@@ -44,7 +44,7 @@ SLACK = 5.5
 #: Classes of a tile where classes of different components are compared.
 TILE = 2048
 SEED = 20_240_229
-MEMO = 500_000
+MEMO = 200_000
 
 
 class WordHashes(dict):
@@ -65,11 +65,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of ``text``."""
+def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text in UTF-8."""
     memo = cached("minhash words", WordHashes)
     # bytes.split and bytes.lower know ASCII white space and letters only: exactly the words wanted.
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -113,8 +113,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n, sum and xor of hashes, signature (values as big-endian bytes) and marks (a byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sums = [int(s.sum(dtype=np.uint64)) - 2**63 if len(s) else 0 for s in sets]
             xors = [int(np.bitwise_xor.reduce(s * _PLACES[9])) - 2**63 if len(s) else 0 for s in sets]
             sigs = [signature(s) if len(s) else None for s in sets]
@@ -182,21 +182,27 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets (id, set) of the documents in ``ids``; of rows that repeat an id, one."""
+    """Full shingle sets (id, set) of the documents in ``ids``; of rows that repeat an id, one.
+
+    A bounded filter drops most other texts where they are read; the join is exact.
+    """
+    bloom = Bloom(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+        for batch in slices(batches):
+            some = batch.filter(pa.array(bloom.passed(batch.column("spots"))))
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([shingles(t).tobytes() for t in some.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wanted = rows.withColumn("spots", bloom.spots()).mapInArrow(run, "id long, set binary")
+    return wanted.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -347,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes, "classes")
     pairs = cut(_neighbours(classes, partitions, least_agreement(percent)), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_sets(docs, ids, id_col, text_col).dropDuplicates(["id"]), "shingle-sets")
+    sets = cut(_sets(docs, ids, id_col, text_col), "shingle-sets")
     # Each class with its likeliest partner: most links come from these.
     partner = F.max(F.struct("agree", (-F.col("other")).alias("other")))
     sides = pairs.select("agree", F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("s")).select("agree", "s.*")
@@ -362,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = cut(_families(classes, component, partitions, least_agreement(percent)), "family-members")
     if not families.isEmpty():
         missing = families.select("id").join(ids, "id", "left_anti")
-        sets = sets.unionByName(cut(_sets(docs, missing, id_col, text_col).dropDuplicates(["id"]), "shingle-sets"))
+        sets = sets.unionByName(cut(_sets(docs, missing, id_col, text_col), "shingle-sets"))
         links = links.unionByName(cut(_settled(families, classes, sets, partitions, least_agreement(percent), percent), "links-settled"))
         component = components(links.toDF("u", "v"))
     # Every row follows its class, every class its component.
