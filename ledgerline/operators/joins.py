@@ -116,3 +116,18 @@ def pairs_within(df: DataFrame, group: str, item: str, most: int = 200) -> DataF
     first = checked.select("items", F.posexplode("items").alias("i", "a"))
     both = first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     return both.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def first_existing(df: DataFrame, key: str, candidates: Sequence[Column], listing: DataFrame, name: str) -> DataFrame:
+    """The first of several candidate names per row that is in the listing; one shuffle for all candidates."""
+    tried = df.select(key, F.posexplode(F.array(*candidates)).alias("_place", "_name")).where("_name is not null")
+    there = tried.join(listing.select(F.col(name).alias("_name")).distinct(), "_name", "left_semi")
+    best = there.groupBy(key).agg(F.min_by("_name", "_place").alias(name))
+    return df.join(best, key, "left")
+
+
+def joined_on(left: DataFrame, right: DataFrame, key: Column, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Join on a derived key; columns that both sides have get suffixes."""
+    both = set(left.columns) & set(right.columns)
+    sides = [df.select(key.alias("join_key"), *(F.col(c).alias(c + s if c in both else c) for c in df.columns)) for df, s in zip((left, right), suffixes)]
+    return sides[0].join(sides[1], "join_key", how)

@@ -126,3 +126,30 @@ def normalised(df: DataFrame, profiles: Mapping[str, Mapping[str, str]]) -> Data
     _, own = profile_columns(df.columns, profiles)
     names = list(dict.fromkeys(k for p in profiles.values() for k in p))
     return df.select(*((F.col(f"`{own[n]}`") if n in own else F.lit(None)).cast("string").alias(n) for n in names))
+
+
+def skip_review(x: str | Column, protected: Sequence[str] = (), aliases: Sequence[str] = (), phrases: Sequence[str] = (), prefixes: Sequence[str] = (), patterns: Sequence[str] = ()) -> Column:
+    """Whether a token needs no review: protected names always do; aliases, known phrases, prefixes and patterns don't."""
+    value = F.lower(T.squish(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))))
+    skip = (value == "") | value.isin(*aliases) | value.isin(*phrases)
+    for p in prefixes:
+        skip = skip | value.startswith(p)
+    for p in patterns:
+        skip = skip | value.rlike(p)
+    return F.when(value.isin(*protected), False).otherwise(skip)
+
+
+def usable_nodes(taxonomy: DataFrame, kingdom: str, rank: str, status: str, kingdoms: Sequence[str], ranks: Sequence[str], bad: Sequence[str] = ("misapplied",)) -> DataFrame:
+    """Nodes of the wanted kingdoms and ranks whose status is not a bad one; a blank status counts as accepted."""
+    state = F.lower(F.coalesce(F.trim(status), F.lit("")))
+    return taxonomy.where(F.lower(kingdom).isin(*kingdoms) & F.lower(rank).isin(*ranks) & ~state.isin(*bad))
+
+
+def coded(df: DataFrame, name: str, overrides: Mapping[str, str], dictionary: DataFrame, code: str, most_words: int = 4) -> DataFrame:
+    """A code per name: overrides first, else the code of the longest dictionary term in the name (smallest on a tie)."""
+    key = F.lower(T.squish(name))
+    rows = df.withColumn("_name", key)
+    found = dictionary_match(rows.select("_name").distinct().withColumn("_text", F.col("_name")), "_name", ["_text"], dictionary, most_words)
+    best = found.groupBy("_name").agg(F.min_by("value", F.struct(-F.length("term"), F.col("value"))).alias("_code"))
+    fixed = T.recode(F.col("_name"), overrides, F.lit(None).cast("string")) if overrides else F.lit(None).cast("string")
+    return rows.join(best, "_name", "left").withColumn(code, F.coalesce(fixed, F.col("_code").cast("string"))).drop("_name", "_code")

@@ -311,3 +311,37 @@ def _(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_custkey").alias("item"), "o_orderkey", F.col("o_orderstatus").alias("status"))
     best = F.when(F.col("status") == "F", 0).when(F.col("status") == "O", 1).otherwise(2)
     return keep_first(rows, ["item"], [best, "o_orderkey"]).select("item", "status")
+
+
+@query("derived_key_join", "SELECT regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') AS join_key, a.c_custkey AS c_custkey_x, b.c_custkey AS c_custkey_y FROM customer a JOIN customer b ON b.c_custkey % 3 = 0 AND regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(upper(b.c_name)), '[^a-z0-9]', '', 'g') WHERE a.c_custkey < 300")
+def _(t: Tables) -> DataFrame:
+    from ledgerline.functions.text import alnum_key
+
+    right = t.customer.where("c_custkey % 3 = 0").select(F.upper("c_name").alias("c_name"), "c_custkey")
+    return joins.joined_on(t.customer.where("c_custkey < 300").select("c_name", "c_custkey"), right, alnum_key("c_name")).select("join_key", "c_custkey_x", "c_custkey_y")
+
+
+@query("first_existing_name", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN s_suppkey % 3 = 0 THEN 'alt-' || s_suppkey END AS file FROM supplier")
+def _(t: Tables) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    listing = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("file")).unionByName(t.supplier.where("s_suppkey % 3 = 0").select(F.concat(F.lit("alt-"), key).alias("file")))
+    return joins.first_existing(t.supplier.select("s_suppkey", "s_name"), "s_suppkey", [F.col("s_name"), F.concat(F.lit("alt-"), key)], listing, "file").drop("s_name")
+
+
+@query("skip_review", "SELECT p_partkey, CASE WHEN lower(p_name) = 'small ring' THEN false ELSE starts_with(lower(p_name), 'small') OR regexp_matches(lower(p_name), 'widget$') END AS skip FROM part")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", resolve.skip_review("p_name", protected=["small ring"], prefixes=["small"], patterns=["widget$"]).alias("skip"))
+
+
+@query("usable_nodes", "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) IN ('f', 'o') AND lower(o_orderpriority) IN ('1-urgent', '2-high') AND o_custkey % 5 <> 0")
+def _(t: Tables) -> DataFrame:
+    rows = t.orders.withColumn("state", F.when(F.col("o_custkey") % 5 == 0, "Misapplied").when(F.col("o_custkey") % 5 == 1, " "))
+    return resolve.usable_nodes(rows, "o_orderstatus", "o_orderpriority", "state", ["f", "o"], ["1-urgent", "2-high"]).select("o_orderkey")
+
+
+@query("coded_names", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'X3' ELSE 'R' || n_regionkey END AS code FROM nation")
+def _(t: Tables) -> DataFrame:
+    letters = F.translate(F.col("n_nationkey").cast("string"), "0123456789", "abcdefghij")
+    names = t.nation.select("n_nationkey", F.concat(F.lit("The land of "), letters, F.lit(" country, far away")).alias("name"))
+    dictionary = t.nation.select(F.concat(letters, F.lit(" country")).alias("term"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("value"))
+    return resolve.coded(names, "name", {"the land of d country, far away": "X3"}, dictionary, "code").drop("name")
