@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cached, shuffle_partitions, table
+from ledgerline.llm.common import cached, shuffle_partitions, slices, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds memory, not results.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def ranks_path(name: str = RANKS) -> str:
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 (out := Out()).add(codec.encode(text), codec)
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch in batches:
+        for batch in slices(batches, 64):
             found = [Chunk.of(codec, base, text) for base, text in zip(batch.column("base").to_pylist(), batch.column("piece").to_pylist())]
             made = [pa.array([f(c) for c in found], pa.binary()) for f in (lambda c: c.ends.tobytes(), lambda c: c.counts.tobytes(), lambda c: c.ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "ends", "counts", "ids"])
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         stitch, out = Stitch(codec), Out()
-        for batch in batches:
+        for batch in slices(batches, 64):
             ids, rows = [], []
             for r in batch.to_pylist():
                 chunk = Chunk(r["base"], r["piece"], np.frombuffer(r["ends"], np.int64), np.frombuffer(r["counts"], np.int64), r["ids"])

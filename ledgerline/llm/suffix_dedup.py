@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, shuffle_partitions, table
+from ledgerline.llm.common import cut, shuffle_partitions, slices, table
 
 LENGTH = 100
 GRAM = 32
@@ -182,7 +182,7 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids, twins = batch.column("id").to_numpy(), batch.column("twin").to_numpy()
             found = []
             for first, data, ends in _batches(texts):
@@ -258,10 +258,10 @@ def _halves(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches, 256):
             out: list[tuple] = []
-            for key, twin, text, spots in zip(*(batch.column(c).to_pylist() for c in ("id", "twin", "text", "spots"))):
-                text = text.encode("utf-8", "surrogatepass")
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for key, twin, text, spots in zip(batch.column("id").to_pylist(), batch.column("twin").to_pylist(), texts, batch.column("spots").to_pylist()):
                 _, starts, n, anchors, _, _ = stretches(np.frombuffer(text, np.uint8), np.array([len(text)]), length)
                 at = np.searchsorted(starts, np.array(sorted(spots)) >> 8)
                 for start, windows, anchor in zip(starts[at].tolist(), n[at].tolist(), anchors[at].tolist()):
@@ -347,10 +347,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_bytes, n_removed, n_spans and ``kept``: the bytes left (``digest``: their sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist()):
-                text = text.encode("utf-8", "surrogatepass")
+            for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots").to_pylist()):
                 gone = spans(np.array(spots, np.int64), length).tolist() if spots else []
                 kept, at = [], 0
                 for start, end in gone:

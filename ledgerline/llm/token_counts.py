@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cached, table
+from ledgerline.llm.common import cached, slices, table
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds memory, not results.
-MEMO = 500_000
+MEMO = 150_000
 #: The vocabulary writes a space as this sign, and reads the sign in a text as a space.
 SIGN = "▁"
 
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = cached(f"token counter {path}", lambda: Counter(path))
-        for batch in batches:
+        for batch in slices(batches):
             counts = [counter.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 

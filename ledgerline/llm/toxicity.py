@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, table
+from ledgerline.llm.common import cut, slices, table
 
 #: Bounds of the labelled sample; terms of the lexicon; documents of the toxic class that a term needs.
 MOST_TOXIC, MOST_CLEAN, TERMS, SUPPORT = 8_000, 16_000, 1_000, 3
 HELD_OUT_OF = 5
 ROUNDS, DEPTH, RATE, RIDGE, BINS = 60, 3, 0.2, 1.0, 32
+#: Distinct words that a task remembers before it starts afresh; bounds memory, not results.
+MEMO = 100_000
 #: Lengths of word beginnings that are terms besides whole words.
 STEMS = (4, 5, 6)
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -56,14 +58,14 @@ def obfuscated(word: str) -> bool:
 
 
 class Reader(dict):
-    """Raw word -> (weight, second person, obfuscated) packed as weight + 1000 * flag; remembers a bounded number."""
+    """Raw word -> (weight, second person, obfuscated)."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, raw: str) -> tuple[float, bool, bool]:
-        if len(self) > 500_000:
+        if len(self) > MEMO:
             self.clear()
         word = raw.strip(EDGES)
         weight = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if word else 0.0
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[y].update({t for w in set(text.lower().split()) for t in terms(w.strip(EDGES)) if t})
         for y, c in enumerate(counts):
@@ -228,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             made = [reader.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(made, pa.list_(pa.float64()))], names=["id", "y", "part", "features"])
 
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["id", "score"])
 
@@ -254,7 +256,7 @@ def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, at = Reader(model.lexicon), names.index(text_col)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([reader.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) < 0.5))
 
