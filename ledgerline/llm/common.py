@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Scratch tables that this process wrote.
+WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,18 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, lost executors cost nothing."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process; results that still read them must be written before."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -428,3 +428,12 @@ def test_bloom_never_misses(spark):
     passed = bloom.passed(spots.column("s").combine_chunks())
     hit = set(np.array(spots.column("id"))[passed].tolist())
     assert set(range(0, 5000, 7)) <= hit and len(hit) < 1000
+
+
+def test_discard(spark):
+    df = common.cut(spark.range(5), "discard")
+    path = common.WRITTEN[-1]
+    assert df.count() == 5
+    common.discard(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not common.WRITTEN and not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
