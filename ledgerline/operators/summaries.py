@@ -159,12 +159,12 @@ def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def run_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Calls, mean, median and 95th percentile (lower nearest rank) of a measure per stage."""
-    stats = df.where(F.col(value).isNotNull()).groupBy(*by)
-    # percentile_disc takes the smallest value whose cumulative share reaches p: with p = (k + 0.5) / n it is the value of rank k.
-    ordered = stats.agg(F.count("*").alias("calls"), F.avg(value).alias("mean"), F.array_sort(F.collect_list(value)).alias("_all"))
-    at = lambda p: F.element_at("_all", (F.floor(F.lit(p) * (F.col("calls") - 1)) + 1).cast("int"))
-    return ordered.select(*by, "calls", "mean", at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Calls, mean, median and 95th percentile (lower nearest rank) of a measure per stage; values are counted first."""
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value)))
+    return ranked.groupBy(*by).agg(F.sum("_n").alias("calls"), (F.sum(F.col("_n") * F.col(value)) / F.sum("_n")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def grouped_sets(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
