@@ -31,7 +31,7 @@ WEIGHTS = (3, 1, 2)
 #: Words that the mix takes, as a share of all words, and the most copies of a document.
 BUDGET, CAP = 1.5, 2.0
 #: Rows of a leaf, roughly, and bits of the hash that a level of the tree merges.
-LEAF, STEP = 4096, 4
+LEAF, STEP = 512, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
