@@ -321,6 +321,15 @@ def _(t: Tables) -> DataFrame:
     return joins.joined_on(t.customer.where("c_custkey < 300").select("c_name", "c_custkey"), right, alnum_key("c_name")).select("join_key", "c_custkey_x", "c_custkey_y")
 
 
+@query("derived_key_join_whole", "SELECT regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') AS join_key, a.c_custkey AS c_custkey_x, b.c_custkey AS c_custkey_y FROM customer a JOIN customer b ON regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(upper(b.c_name)), '[^a-z0-9]', '', 'g')")
+def _(t: Tables) -> DataFrame:
+    """Every customer on both sides; ``derived_key_join`` and its SQL hold a subset of ids."""
+    from ledgerline.functions.text import alnum_key
+
+    right = t.customer.select(F.upper("c_name").alias("c_name"), "c_custkey")
+    return joins.joined_on(t.customer.select("c_name", "c_custkey"), right, alnum_key("c_name")).select("join_key", "c_custkey_x", "c_custkey_y")
+
+
 @query("first_existing_name", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN s_suppkey % 3 = 0 THEN 'alt-' || s_suppkey END AS file FROM supplier")
 def _(t: Tables) -> DataFrame:
     key = F.col("s_suppkey").cast("string")

@@ -23,3 +23,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_derived_key_join_takes_every_customer(spark):
+    customers = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").where("c_name is not null").select("c_custkey").collect()}
+    rows = QUERIES["derived_key_join_whole"](spark, DATA).collect()
+    assert {r["c_custkey_x"] for r in rows} == {r["c_custkey_y"] for r in rows} == customers
