@@ -76,6 +76,49 @@ def _(t: Tables) -> DataFrame:
     return pipeline.run(rows)[0].select("rank", "id", "lang")
 
 
+def _whole_pipeline(t: Tables) -> tuple[dedup.DedupPipeline, DataFrame]:
+    """The stages of ``_pipeline`` over whole texts: both keys are hashes of the whole normalised text, the second without spaces."""
+    length = F.length("body").alias("length")
+    plain = F.trim(F.regexp_replace(F.lower("body"), "[^a-z0-9 ]", ""))
+    keys = [length, F.sha2(plain, 256).alias("plain"), F.when(F.length(plain) >= 15, F.sha2(F.replace(plain, F.lit(" ")), 256)).alias("letters")]
+    docs = t.documents.select(F.lit(1).alias("rank"), F.col("doc_id").alias("id"), F.col("text").alias("body"), "lang")
+    titles = t.pages.select(F.lit(2).alias("rank"), F.col("page_id").alias("id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("body"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("lang"))
+    # Only lengths and hashes travel, not the texts.
+    both = docs.unionByName(titles).select("rank", "id", "lang", *keys)
+    stages = [
+        dedup.Stage("usable", keep=F.col("length") >= 20),
+        dedup.Stage("text", key=F.col("plain")),
+        dedup.Stage("language", keep=F.col("lang").isin("en", "fr", "de")),
+        dedup.Stage("letters", key=F.col("letters")),
+    ]
+    return dedup.DedupPipeline(stages, ["rank", F.desc("length"), "id"]), both
+
+
+_WHOLE = """base AS (SELECT 1 AS rank, doc_id AS id, text AS body, lang FROM documents
+  UNION ALL SELECT 2, page_id, regexp_extract(html, '<title>(.*?)</title>', 1), regexp_extract(html, 'lang="([a-z]*)"', 1) FROM pages),
+s1 AS (SELECT *, trim(regexp_replace(lower(body), '[^a-z0-9 ]', '', 'g')) AS k FROM base WHERE length(body) >= 20),
+s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, length(body) DESC, id) AS rn FROM s1) WHERE rn = 1),
+s3 AS (SELECT * FROM s2 WHERE lang IN ('en', 'fr', 'de')),
+s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length(k) >= 15 THEN replace(k, ' ', '') ELSE 'none ' || rank || ' ' || id END ORDER BY rank, length(body) DESC, id) AS rm FROM s3) WHERE rm = 1)"""
+
+
+@query(
+    "dedup_stage_ledger_whole",
+    f"""WITH {_WHOLE}, n AS (SELECT (SELECT count(*) FROM base) AS n0, (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM s2) AS n2, (SELECT count(*) FROM s3) AS n3, (SELECT count(*) FROM s4) AS n4)
+SELECT CAST(1 AS INT) AS step, 'usable' AS stage, n0 AS rows_in, n1 AS rows_out, n0 - n1 AS removed FROM n UNION ALL SELECT 2, 'text', n1, n2, n1 - n2 FROM n
+UNION ALL SELECT 3, 'language', n2, n3, n2 - n3 FROM n UNION ALL SELECT 4, 'letters', n3, n4, n3 - n4 FROM n""",
+)
+def _(t: Tables) -> DataFrame:
+    pipeline, rows = _whole_pipeline(t)
+    return pipeline.run(rows)[2].drop("note")
+
+
+@query("dedup_pipeline_kept_whole", f"WITH {_WHOLE} SELECT CAST(rank AS INT) AS rank, id, lang FROM s4")
+def _(t: Tables) -> DataFrame:
+    pipeline, rows = _whole_pipeline(t)
+    return pipeline.run(rows)[0].select("rank", "id", "lang")
+
+
 @query(
     "url_normalise_dedup",
     r"""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.|m\.)?', ''), '[?#].*$', '') AS k FROM pages)

@@ -29,3 +29,12 @@ def test_derived_key_join_takes_every_customer(spark):
     customers = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").where("c_name is not null").select("c_custkey").collect()}
     rows = QUERIES["derived_key_join_whole"](spark, DATA).collect()
     assert {r["c_custkey_x"] for r in rows} == {r["c_custkey_y"] for r in rows} == customers
+
+
+def test_dedup_keeps_documents_that_differ_late(spark, tmp_path):
+    opening = "the same opening " * 20
+    docs = [(1, opening + "one end", "en", "s"), (2, opening + "another end", "en", "s"), (3, opening + "one, end!", "en", "s"), (4, opening + "one  end", "en", "s"), (5, "short text here", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["id"] for r in QUERIES["dedup_pipeline_kept_whole"](spark, str(tmp_path)).collect()} == {2, 3}
+    assert {r["stage"]: r["removed"] for r in QUERIES["dedup_stage_ledger_whole"](spark, str(tmp_path)).collect()} == {"usable": 1, "text": 1, "language": 0, "letters": 1}
