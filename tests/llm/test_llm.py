@@ -198,6 +198,27 @@ def test_url_distrust_spreads_backwards(spark):
     assert got["nice.org"]["verdict"] == "allow" and got["alone.org"]["verdict"] == "allow"
 
 
+def test_url_verdicts_do_not_depend_on_other_pages(spark):
+    link = lambda h, n=1: f'<a href="http://{h}/p">x</a>' * n
+    pages = [(0, "http://bad.net/es/1", ""), (1, "http://bad.net/en/1", ""), (2, "http://friend.org/", link("bad.net")), (3, "http://good.com/a", link("nice.org", 3)), (4, "http://nice.org/", link("bad.net") + link("good.com", 9))]
+    few = spark.createDataFrame(pages, "page_id long, url string, html string")
+    other = lambda n, host, path: spark.range(n).selectExpr("-1 - id", f"concat('http://h', id % 50, '.{host}{path}', id)", "''")
+    verdicts = lambda df: {r["page_id"]: r["verdict"] for r in url_filter.judge(df).where("page_id >= 0").collect()}
+    want = {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow"}
+    assert verdicts(few) == want
+    assert verdicts(few.union(other(400_000, "net", "/fr/"))) == want
+    assert verdicts(few.union(other(400_000, "com", "/"))) == want
+
+
+def test_url_thin_edges_carry_rank(spark):
+    # One link of 4,000,000 from a host is a share below 10**-6.
+    edges = spark.createDataFrame([("distrust", "bad.net", "thin.org", 1), ("distrust", "bad.net", "thick.org", 3_999_999)], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("distrust", "bad.net", 30_000_000)], "kind string, host string, n long")
+    got = {r["host"]: r for r in url_filter.propagate(edges, seeds).collect()}
+    assert got["thin.org"]["rank"] == 15 * 10**10 // 4_000_000 * 85 // 100
+    assert int(got["thin.org"]["weight"]) == 30_000_000 * 15 * 10**10 // 4_000_000 * 85 // 100 and int(got["bad.net"]["weight"]) == 30_000_000 * 15 * 10**10
+
+
 # --- toxicity ------------------------------------------------------------------------------------------
 
 
