@@ -90,27 +90,30 @@ def review_queue(resolved: DataFrame) -> DataFrame:
     return resolved.where("method = 'no_match' or is_ambiguous")
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """All runs of 1 to ``most`` words."""
+def ngrams(words: Column, sizes: Sequence[int]) -> Column:
+    """All runs of as many words as ``sizes`` says."""
     n = F.size(words)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), _run(words, k))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
-    return F.concat(*runs)
+    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), _run(words, k))).otherwise(F.array().cast("array<string>")) for k in sizes]
+    return F.concat(F.array().cast("array<string>"), *runs)
 
 
 def _run(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")
 
 
-def dictionary_match(df: DataFrame, key: str, texts: Sequence[str], dictionary: DataFrame, most_words: int = 3, shortest: int = 3) -> DataFrame:
+def dictionary_match(df: DataFrame, key: str, texts: Sequence[str], dictionary: DataFrame, most_words: int | None = None, shortest: int = 3) -> DataFrame:
     """(key, term, value): dictionary terms found as whole words in the texts.
 
     Runs of words are matched by an equi-join, so the cost does not grow with the dictionary as a scan per
-    term would; each row's distinct runs only.
+    term would; each row's distinct runs only, of the lengths that the dictionary holds (``most_words`` leaves
+    out longer terms).
     """
     words = F.concat(*(T.tokens(c) for c in texts)) if len(texts) == 1 else F.flatten(F.array(*(F.concat(T.tokens(c), F.array(F.lit("|"))) for c in texts)))
-    # The words are a column of their own, so they are split once and not for every run.
-    runs = df.select(key, words.alias("_words")).select(key, F.explode(F.array_distinct(ngrams(F.col("_words"), most_words))).alias("term"))
     terms = unique_by(dictionary.select(F.lower("term").alias("term"), "value"), ["term"]).where(F.length("term") >= shortest)
+    sizes = sorted(r[0] for r in dictionary.where("term is not null").select(F.size(F.split("term", " "))).distinct().collect())
+    sizes = [k for k in sizes if most_words is None or k <= most_words]
+    # The words are a column of their own, so they are split once and not for every run.
+    runs = df.select(key, words.alias("_words")).select(key, F.explode(F.array_distinct(ngrams(F.col("_words"), sizes))).alias("term"))
     return runs.join(small(terms), "term").select(key, "term", "value").distinct()
 
 
@@ -145,7 +148,7 @@ def usable_nodes(taxonomy: DataFrame, kingdom: str, rank: str, status: str, king
     return taxonomy.where(F.lower(kingdom).isin(*kingdoms) & F.lower(rank).isin(*ranks) & ~state.isin(*bad))
 
 
-def coded(df: DataFrame, name: str, overrides: Mapping[str, str], dictionary: DataFrame, code: str, most_words: int = 4) -> DataFrame:
+def coded(df: DataFrame, name: str, overrides: Mapping[str, str], dictionary: DataFrame, code: str, most_words: int | None = None) -> DataFrame:
     """A code per name: overrides first, else the code of the longest dictionary term in the name (smallest on a tie)."""
     key = F.lower(T.squish(name))
     rows = df.withColumn("_name", key)

@@ -109,3 +109,13 @@ def test_records_and_claims(spark):
 def test_profiles():
     profiles = {"plain": {"id": "taxonID", "name": "canonicalName"}, "archive": {"id": "dwc:taxonID", "name": "dwc:scientificName"}}
     assert resolve.profile_columns(["dwc:taxonID", "x"], profiles) == ("archive", {"id": "dwc:taxonID"})
+
+
+def test_long_dictionary_terms(spark):
+    names = ["Georgia", "Congo", "Democratic Republic of Congo", "Saint Vincent and the Grenadines", "South Georgia and the South Sandwich Islands"]
+    dictionary = spark.createDataFrame([(n, n[:2].upper() + str(len(n.split()))) for n in names] + [(None, "none")], "term string, value string")
+    texts = spark.createDataFrame([(i, f"Found in {n}, twice.") for i, n in enumerate(names)] + [(9, None)], "id long, text string")
+    found = {(r["id"], r["term"]) for r in resolve.dictionary_match(texts, "id", ["text"], dictionary).collect()}
+    assert found == {(i, n.lower()) for i, n in enumerate(names)} | {(2, "congo"), (4, "georgia")}
+    codes = {r["id"]: r["code"] for r in resolve.coded(texts, "text", {}, dictionary, "code").collect()}
+    assert codes == {0: "GE1", 1: "CO1", 2: "DE4", 3: "SA5", 4: "SO7", 9: None}
