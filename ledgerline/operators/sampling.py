@@ -60,7 +60,7 @@ def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], key: str, se
 def quota_draw(pool: Sequence[dict], n: int, quotas: Mapping[str, Mapping[str, int]], key: str) -> list[dict]:
     """Greedy draw under marginal quotas ({column: {value: most}}) in the order of ``pool``, then filled up regardless.
 
-    The order is sequential by nature and the pool is a shortlist, so this runs on the driver.
+    The order is sequential by nature, so this runs on the driver; ``quota_pool`` makes the pool small.
     """
     left = {c: dict(q) for c, q in quotas.items()}
     taken, rest = [], []
@@ -73,6 +73,16 @@ def quota_draw(pool: Sequence[dict], n: int, quotas: Mapping[str, Mapping[str, i
     return taken + rest[: n - len(taken)]
 
 
+def quota_pool(df: DataFrame, n: int, columns: Sequence[str], key: str, seed: str = "") -> DataFrame:
+    """The rows in hash order that decide a ``quota_draw`` of ``n`` from all of ``df``: the first ``n`` of each cell of the columns.
+
+    Rows of a cell fit alike and quotas only shrink, so a draw takes a beginning of every cell, and no more than ``n`` rows.
+    """
+    order = [shuffled(key, seed), F.col(key)]
+    rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank").orderBy(*order)
+
+
 def interleaved(df: DataFrame, strata: Sequence[str], key: str, seed: str = "", name: str = "place") -> DataFrame:
     """Rows in rounds, one of each stratum a round, so every beginning of the list is balanced; larger strata first."""
     window = Window.partitionBy(*strata)

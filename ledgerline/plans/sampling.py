@@ -39,9 +39,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("quota_draw")
 def _(t: Tables) -> DataFrame:
-    """40 documents under quotas of language and source, from a shortlist of 400 in hash order."""
-    short = t.documents.select("doc_id", "lang", "source").orderBy(sampling.shuffled("doc_id", "q"), "doc_id").limit(400)
-    pool = [r.asDict() for r in short.collect()]
+    """40 documents under quotas of language and source, from all documents in hash order."""
+    pool = [r.asDict() for r in sampling.quota_pool(t.documents.select("doc_id", "lang", "source"), 40, ["lang", "source"], "doc_id", "q").collect()]
     langs = sampling.largest_remainder({"en": 3, "fr": 1, "de": 1, "es": 1}, 40)
     sources = {r["source"]: 4 for r in pool}
     drawn = sampling.quota_draw(pool, 40, {"lang": langs, "source": sources}, "doc_id")

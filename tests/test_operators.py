@@ -119,3 +119,19 @@ def test_long_dictionary_terms(spark):
     assert found == {(i, n.lower()) for i, n in enumerate(names)} | {(2, "congo"), (4, "georgia")}
     codes = {r["id"]: r["code"] for r in resolve.coded(texts, "text", {}, dictionary, "code").collect()}
     assert codes == {0: "GE1", 1: "CO1", 2: "DE4", 3: "SA5", 4: "SO7", 9: None}
+
+
+def test_quota_draw_looks_at_every_document(spark, tmp_path):
+    import hashlib
+
+    from ledgerline.plans.registry import QUERIES
+
+    # Of 6,000 rows, 5,800 are of one source and language; the others are rare.
+    rows = [(i, "en", "hot") if i % 30 else (i, ["fr", "de", "es", None, "en"][i // 30 % 5], f"s{i // 30 % 19}") for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = [{"doc_id": i, "lang": x, "source": s} for i, x, s in sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}q".encode()).hexdigest(), r[0]))]
+    quotas = {"lang": sampling.largest_remainder({"en": 3, "fr": 1, "de": 1, "es": 1}, 40), "source": {r["source"]: 4 for r in order}}
+    want = [tuple(r.values()) for r in sampling.quota_draw(order, 40, quotas, "doc_id")]
+    got = [tuple(r) for r in QUERIES["quota_draw"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {x: sum(r[1] == x for r in got) for x in quotas["lang"]} == quotas["lang"]
