@@ -3,7 +3,8 @@
 A bounded, hash-chosen sample of labelled rows (MOST_TOXIC and MOST_CLEAN rows at most) is split in
 three: one part yields the lexicon (words and word beginnings that toxic rows favour, by a smoothed
 log-odds z-score), one grows the trees, and one fits the isotonic curve from tree margin to
-probability.  Rows whose crc32(doc_id as text) mod 5 is 0 are never looked at.  Every text is then
+probability.  A sampled row counts for as many training labels of its class as there are for each sampled
+one, so scores keep the true share of toxic rows whatever the bounds.  Rows whose crc32(doc_id as text) mod 5 is 0 are never looked at.  Every text is then
 scored whole, in one pass over the documents.
 
 Features of a text: lexicon densities (share of words, count, sum and largest weight), lexicon words
@@ -94,15 +95,17 @@ class Trees:
     def __init__(self) -> None:
         self.start, self.edges, self.trees = 0.0, [], []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        # Weights of mean 1, so that RIDGE means the same for every sample.
+        w = np.ones(len(y)) if weight is None else weight / weight.mean()
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = self._binned(x)
-        p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        p = min(max(np.average(y, weights=w), 1e-3), 1 - 1e-3)
         self.start = math.log(p / (1 - p))
         margin = np.full(len(y), self.start)
         for _ in range(ROUNDS):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(binned, p - y, p * (1 - p), np.arange(len(y)), DEPTH)
+            tree = self._grow(binned, w * (p - y), w * p * (1 - p), np.arange(len(y)), DEPTH)
             self.trees.append(tree)
             margin += self._walk(tree, binned)
         return self
@@ -139,12 +142,13 @@ class Trees:
         return self.start + sum((self._walk(t, binned) for t in self.trees), np.zeros(len(x)))
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing curve nearest to ``y``, by pooling neighbours that fall."""
     order = np.argsort(margin, kind="stable")
     pools: list[list[float]] = []  # margin, mean, weight
-    for m, v in zip(margin[order], y[order]):
-        pools.append([m, v, 1.0])
+    weight = np.ones(len(y)) if weight is None else weight
+    for m, v, w in zip(margin[order], y[order], weight[order]):
+        pools.append([m, v, w])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             m2, v2, w2 = pools.pop()
             m1, v1, w1 = pools.pop()
@@ -187,6 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows outside the held-out fold."""
     learn = F.crc32(F.col(id_col).cast("string")) % HELD_OUT_OF != 0
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    labelled = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # Training labels for each sampled one.
+    stands = {y: max(labelled.get(y, 0) / most, 1.0) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))}
     chosen = [known.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     # At most MOST_TOXIC + MOST_CLEAN ids of 12 bytes: small at any size of the tables.
     sample = F.broadcast(cut(chosen[0].unionByName(chosen[1]), "toxicity-sample"))
@@ -204,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     first = rows.where("part < 4")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    base = totals.get(1, 0) / max(sum(totals.values()), 1)
+    base = stands[1] * totals.get(1, 0) / max(sum(stands[k] * n for k, n in totals.items()), 1)
     if not (totals.get(0) and totals.get(1)):
         return Model({}, base)
     sizes = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -221,9 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if min(y[fit].sum(), (1 - y[fit]).sum(), y[check].sum(), (1 - y[check]).sum()) < 1:
         fit = check = np.ones(len(y), bool)
     if len(y) and 0 < y.sum() < len(y):
-        # The sample holds more toxic rows than the tables; their weight is not undone, so 0.5 splits evenly.
-        model.trees = Trees().fit(x[fit], y[fit])
-        model.knots = isotonic(model.trees.margin(x[check]), y[check])
+        weight = np.where(y == 1, stands[1], stands[0])
+        model.trees = Trees().fit(x[fit], y[fit], weight[fit])
+        model.knots = isotonic(model.trees.margin(x[check]), y[check], weight[check])
     return model
 
 

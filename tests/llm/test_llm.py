@@ -254,6 +254,28 @@ def test_toxicity_never_sees_the_held_out_fold(spark):
     assert a == b
 
 
+def test_toxicity_scores_keep_the_true_share_beyond_the_bounds(spark, monkeypatch):
+    r = random.Random(6)
+    words = ["".join(r.choice("aeioustnrl") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    # The same words in toxic and clean texts, more often in toxic ones: 10% of 6,000 are toxic.
+    bad = [i % 10 == 1 for i in range(6000)]
+    texts = [" ".join(r.choice(["moron", "Idle!"]) if r.random() < (0.05 if b else 0.02) else r.choice(words) for _ in range(r.randint(20, 120))) for b in bad]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    mean = lambda: toxicity.score(docs, toxicity.train(docs, labels)).agg(F.avg("score")).first()[0]
+    whole = mean()
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 500)
+    assert 0.05 < whole < 0.15 and 0.05 < mean() < 0.15
+
+
+def test_isotonic_weights_are_repeats():
+    r = np.random.default_rng(1)
+    x, y, w = r.normal(size=200), (r.random(200) < 0.5).astype(float), r.integers(1, 5, 200)
+    a, b = toxicity.isotonic(x, y, w.astype(float)), toxicity.isotonic(np.repeat(x, w), np.repeat(y, w))
+    # Repeats of one margin may stay pools of their own; the curve is the same.
+    assert np.allclose(np.interp(x, *a), np.interp(x, *b), atol=1e-9)
+
+
 def test_isotonic_is_monotone():
     r = np.random.default_rng(0)
     x = r.normal(size=300)
