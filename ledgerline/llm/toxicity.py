@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +82,24 @@ class Reader(dict):
         weights = [read[i][0] for i in hits]
         near = sum(any(r[1] for r in read[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
         size = max(len(text), 1)
-        capitals = sum(map(str.isupper, text)) if len(text) < 64 else _capitals(text)
+        capitals = _capitals(text)
         return [math.log1p(n), len(hits), len(hits) / max(n, 1), sum(weights), max(weights, default=0.0), sum(weights) / max(len(hits), 1), near, capitals / size, sum(map(text.count, ".,;:!?*")) / size, text.count("!") / size, sum(r[2] for r in read) / max(n, 1)]
 
 
+@cache
+def _upper() -> np.ndarray:
+    """Whether each code point is a capital."""
+    return np.fromiter((chr(c).isupper() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def _capitals(text: str) -> int:
-    codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    return int(((codes >= 65) & (codes <= 90)).sum())
+    """Capitals of any script; in short texts one by one, in longer ones by table."""
+    if len(text) < 64:
+        return sum(map(str.isupper, text))
+    if text.isascii():
+        codes = np.frombuffer(text.encode(), np.uint8)
+        return int(((codes >= 65) & (codes <= 90)).sum())
+    return int(_upper()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
 
 
 class Trees:

@@ -268,6 +268,12 @@ def test_toxicity_scores_keep_the_true_share_beyond_the_bounds(spark, monkeypatc
     assert 0.05 < whole < 0.15 and 0.05 < mean() < 0.15
 
 
+@pytest.mark.parametrize("text", ["ÉCOUTE Ärger ЖУК ok Ⅷ 𝐀", "PLAIN Ascii", ""])
+def test_capitals_count_alike_at_every_length(text):
+    for times in (1, 2, 10, 50):
+        assert toxicity._capitals(text * times) == sum(map(str.isupper, text)) * times
+
+
 def test_isotonic_weights_are_repeats():
     r = np.random.default_rng(1)
     x, y, w = r.normal(size=200), (r.random(200) < 0.5).astype(float), r.integers(1, 5, 200)
