@@ -1,21 +1,29 @@
 """Exact top-k by inner product with no-random-access aggregation.
 
-Each dimension of a block of candidates is a list sorted by value; for a query, the list is read from
-the end that helps it.  All lists are read in step, a stretch at a time.  After each stretch every
-candidate has a lower and an upper bound of its score: what was read, plus for what was not the worst
-and the best value still possible (the list's far end, and where reading stands).  Candidates whose
-upper bound is below the k-th best lower bound, or below the k-th score of earlier blocks, are out;
-reading stops when few are left or half of the lists is read, and the exact scores of those left
-settle the order.  Bounds of all queries of a block are matrix products, so nothing loops over pairs.
-
-Queries and candidates meet block by block: query blocks are repeated for each of a fixed number of
-cells, candidate blocks for each query block; a task holds one block of each.  The best k of each
-query from all tasks meet in a ranked window that Spark cuts to k rows before it shuffles.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-only vectors of one length are compared; rows with a query's own id are not its candidates; ties go
-to the smaller id; a query with fewer candidates gets them all.  Scores are exact while sums of
-products stay below 2**53.
+Each dimension of a block of candidates is a list sorted by value; a query reads it from the end that
+helps it, value by value.  What was read of a candidate gives a lower bound of its score (values not read
+yet are the list's far end) and an upper bound (they are no better than where reading stands).  At each
+look, candidates whose upper bound is below the k-th best lower bound, or below the k-th score of the
+blocks before, are out; a query stops when no outsider can qualify, that is when at most k are left, and a
+block whose list ends already say that nothing in it can qualify is not read.  Then reading goes on,
+only in the lists and only as far as needed, until every value of those left was read: their bounds have
+met, which is the score.  Nothing is ever looked up by row.  Bounds of many queries at once are matrix
+products, so nothing loops over pairs.
+
+How much is read before a query stops depends on the data: of lists whose values differ little from one
+another nearly everything, of skewed ones little (README has figures).
+
+Candidates are packed into blocks where they are.  Queries are dealt into groups of at most ``HELD`` that
+a task can hold, and groups and cells of candidate blocks form a grid: a candidate block travels once for
+each group of queries, not for each block of them.  The best k of each query from all tasks meet in a
+ranked window that Spark cuts to k rows before it shuffles.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; rows
+without an id neither; only vectors of one length are compared; rows with a query's own id are not its
+candidates; rows that repeat an id are each a candidate, and each a query with ranks of its own; ties go to
+the smaller id; a query with fewer candidates gets them all; an empty table gives an empty result; columns
+besides id and vector are ignored, whatever their names.  Scores are exact while sums of products stay below
+2**53.
 """
 
 from __future__ import annotations
@@ -28,116 +36,140 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shuffle_partitions, table
-from ledgerline.llm.vectors import BLOCK, Block, pack, usable
+from ledgerline.llm.common import cut, shuffle_partitions, table
+from ledgerline.llm.vectors import blocks, matrix, usable
 
 SCALE, K, EVERY = 256.0, 5, 50
-#: Reading stops at these shares of the lists.
-DEPTHS = (0.25, 0.5)
+#: Shares of the lists that are read before each look at the bounds.
+LOOKS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+#: Rows of a block, queries that a task holds, and queries whose bounds are made at once.
+BLOCK, HELD, AT_ONCE = 2048, 1 << 15, 256
 
 
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates, one for each dimension."""
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows, n = rows, len(rows)
         order = np.argsort(rows, axis=0, kind="stable")
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
+        self.from_bottom = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.from_bottom, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        self.from_top = n - 1 - self.from_bottom
         self.sorted = np.take_along_axis(rows, order, axis=0)
 
-    def read(self, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What stands for each value after reading: best and worst case, for lists read from the top and from the bottom."""
-        n = len(self.rows)
-        t = min(n, max(1, math.ceil(share * n)))
-        top, bottom = self.rank >= n - t, self.rank < t
-        low, high = self.sorted[0], self.sorted[-1]
-        return (np.where(top, self.rows, self.sorted[n - t]), np.where(top, self.rows, low), np.where(bottom, self.rows, self.sorted[t - 1]), np.where(bottom, self.rows, high))
+    def most(self, queries: np.ndarray) -> np.ndarray:
+        """The best score that the ends of the lists allow."""
+        return np.maximum(queries, 0) @ self.sorted[-1] + np.minimum(queries, 0) @ self.sorted[0]
 
+    def bounds(self, queries: np.ndarray, depth: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of queries x ``some`` candidates after ``depth`` values of each list."""
+        plus, minus, n = np.maximum(queries, 0), np.minimum(queries, 0), len(self.rows)
+        value, top, bottom = self.rows[some], self.from_top[some] < depth, self.from_bottom[some] < depth
+        lower = plus @ np.where(top, value, self.sorted[0]).T + minus @ np.where(bottom, value, self.sorted[-1]).T
+        upper = plus @ np.where(top, value, self.sorted[n - depth]).T + minus @ np.where(bottom, value, self.sorted[depth - 1]).T
+        return lower, upper
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, block: Block, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: its number, and ids and exact scores of all candidates that may be among its k best.
+    def resolved(self, query: np.ndarray, depth: int, some: np.ndarray) -> tuple[np.ndarray, int]:
+        """Scores of ``some`` candidates after reading on until all their values were met, and the values read in all."""
+        met = np.where(query > 0, self.from_top[some], self.from_bottom[some]).max(axis=0) + 1
+        return self.rows[some] @ query, int(np.maximum(met, depth)[query != 0].sum())
+
+
+def nearest(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, ids: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Per query: its number, ids and scores of the candidates that may be among its k best, and how many values were read.
 
     ``floor``: scores that a candidate must reach, from what was seen before.
     """
-    lists, n = Lists(block.rows), len(block.ids)
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    own = query_ids[:, None] == block.ids[None, :]
-    left = ~own
-    for share in DEPTHS:
-        best_top, worst_top, best_bottom, worst_bottom = lists.read(share)
-        upper = plus @ best_top.T + minus @ best_bottom.T
-        bound = floor
-        if n > k:
-            lower = plus @ worst_top.T + minus @ worst_bottom.T
-            lower[own] = -np.inf
-            bound = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
-        left &= upper >= bound[:, None]
-        if left.sum() <= 4 * k * len(queries):
+    n = len(ids)
+    left = query_ids[:, None] != ids[None, :]
+    left[lists.most(queries) < floor] = False
+    stop = np.where(left.any(axis=1), n, 0)
+    reading = np.flatnonzero(stop)
+    for share in LOOKS:
+        if not len(reading):
             break
-    q, c = np.nonzero(left)
-    starts = np.searchsorted(q, np.arange(len(queries) + 1))
+        depth = max(1, math.ceil(share * n))
+        some = np.flatnonzero(left[reading].any(axis=0))
+        lower, upper = lists.bounds(queries[reading], depth, some)
+        now = left[np.ix_(reading, some)]
+        bound = floor[reading]
+        if len(some) > k:
+            lower[~now] = -np.inf
+            bound = np.maximum(bound, np.partition(lower, len(some) - k, axis=1)[:, len(some) - k])
+        now &= upper >= bound[:, None]
+        left[np.ix_(reading, some)] = now
+        stop[reading] = depth
+        reading = reading[now.sum(axis=1) > k]
     for i in range(len(queries)):
-        if starts[i] < starts[i + 1]:
-            among = c[starts[i] : starts[i + 1]]
-            yield i, block.ids[among], lists.rows[among] @ queries[i]
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+        among = np.flatnonzero(left[i])
+        if len(among):
+            scores, read = lists.resolved(queries[i], int(stop[i]), among)
+            yield i, ids[among], scores, read
+        else:
+            yield i, ids[:0], np.empty(0), int(stop[i]) * int(np.count_nonzero(queries[i]))
+
+
+class Asked:
+    """A block of queries and the best that was found for each so far."""
+
+    def __init__(self, block: int, ids: np.ndarray, rows: np.ndarray, k: int) -> None:
+        self.block, self.ids, self.rows, self.k = block, ids, rows, k
+        self.best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+        self.floor = np.full(len(ids), -np.inf)
+
+    def meet(self, ids: np.ndarray, lists: Lists) -> None:
+        for at in range(0, len(self.ids), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            for i, near, scores, _ in nearest(self.rows[part], self.ids[part], lists, ids, self.k, self.floor[part]):
+                if len(near):
+                    near, scores = (np.concatenate(x) for x in zip(self.best[at + i], (near, scores)))
+                    order = np.lexsort((near, -scores))[: self.k]
+                    self.best[at + i] = near[order], scores[order]
+                    if len(order) == self.k:
+                        self.floor[at + i] = scores[order[-1]]
+
+    def found(self) -> pa.RecordBatch:
+        size = [len(x) for x, _ in self.best]
+        made = [np.full(sum(size), self.block), np.repeat(np.arange(len(size)), size), np.repeat(self.ids, size), *(np.concatenate([b[j] for b in self.best]).astype(np.int64) for j in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["block", "nth", "query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """The ``k`` candidates of highest integer inner product for each row where ``is_query``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = rows.select(F.lit(0).alias("label"), F.size("vector").alias("dim"), "id", F.lit(1).cast("long").alias("weight"), "vector", "is_query")
-    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    tiles, query_tiles = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / block))
-    tile = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
     partitions = shuffle_partitions(spark)
-    asked = pack(rows.where("is_query").withColumn("tile", tile(query_tiles)), partitions, block)
-    candidates = pack(rows.withColumn("tile", tile(tiles)), partitions, block)
-    cells = min(tiles, partitions)
-    # Each query block to every cell, each candidate block to its cell once for every query block.
-    asked = asked.select("*", F.col("tile").alias("query_tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.lit(0).alias("kind"))
-    candidates = candidates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_tiles - 1).cast("long"))).alias("query_tile"), F.pmod("tile", F.lit(cells)).alias("cell"), F.lit(1).alias("kind"))
+    whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    part = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
+    row = (F.col(id_col).cast("long").alias("id"), whole.alias("vector"))
+    # Written, so that the number of a query within its block is one and the same for all tasks.
+    asked = cut(blocks(part.where(is_query).select(*row), block), "topk-queries")
+    groups = max(1, math.ceil((asked.agg(F.sum("n")).first()[0] or 0) / held))
+    cells = max(1, math.ceil(partitions / groups))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    queries = asked.select("*", F.lit(0).alias("kind"), deal(groups).alias("group"), to(cells).alias("cell"))
+    candidates = blocks(part.select(*row), block).select("*", F.lit(1).alias("kind"), to(groups).alias("group"), deal(cells).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asking: list[Block] = []
-        found: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        at = None
-
-        def out() -> pa.RecordBatch:
-            got = [(b.ids[i], *x) for b, f in zip(asking, found) for i, x in f.items()]
-            ids = np.concatenate([np.full(len(x), i) for i, x, _ in got]) if got else np.empty(0, np.int64)
-            other, score = (np.concatenate([g[j] for g in got]).astype(np.int64) if got else np.empty(0, np.int64) for j in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(other), pa.array(score)], names=["query_id", "vec_id", "score"])
-
+        at, asking = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["dim"], row["query_tile"], row["cell"])
-                if key != at:
-                    yield out()
-                    at, asking, found = key, [], []
-                here = Block(row)
-                if row["kind"] == 0:
-                    asking.append(here)
-                    found.append({})
-                    continue
-                for b, f in zip(asking, found):
-                    floor = np.array([f[i][1][-1] if i in f and len(f[i][1]) == k else -np.inf for i in range(len(b.ids))])
-                    for i, ids, scores in nearest(b.rows, b.ids, here, k, floor):
-                        if i in f:
-                            ids, scores = np.concatenate([f[i][0], ids]), np.concatenate([f[i][1], scores])
-                        f[i] = _best(ids, scores, k)
-        yield out()
-
-    dealt = asked.unionByName(candidates).repartition(partitions, "dim", "query_tile", "cell").sortWithinPartitions("dim", "query_tile", "cell", "kind", "tile")
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("dim", "group", "cell", "kind", "block")))
+            for nth, (dim, group, cell, kind, number) in enumerate(keys):
+                if (dim, group, cell) != at:
+                    yield from (a.found() for a in asking)
+                    at, asking = (dim, group, cell), []
+                ids, rows = np.frombuffer(batch.column("ids")[nth].as_py(), np.int64), matrix(batch.column("rows")[nth].as_py(), dim)
+                if kind == 0:
+                    asking.append(Asked(number, ids, rows, k))
+                elif asking:
+                    lists = Lists(rows)
+                    for a in asking:
+                        a.meet(ids, lists)
+        yield from (a.found() for a in asking)
+
+    dealt = queries.unionByName(candidates).repartition(partitions, "dim", "group", "cell").sortWithinPartitions("dim", "group", "cell", "kind", "block")
+    best = dealt.mapInArrow(run, "block long, nth long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("block", "nth").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,11 +1,16 @@
 """Embedding near-duplicates: exact cosine links within a label, compared tile by tile in PCA order.
 
 Equal vectors of a label are one class with a count, found by a grouped aggregation, so a vector that
-a third of all rows share is compared once.  Classes of a label are dealt by a hash into tiles, and
-every pair of tiles of a label meets in one task.  There, unit vectors are turned into PCA axes, and
-the products of the leading axes are summed first: with the norms of what is left of both vectors as
-bound for the rest, pairs that cannot reach the threshold stop.  Those left go on over the next axes,
-and pairs within rounding of the threshold are settled by the plain double-precision cosine.
+a third of all rows share is compared once.  Unit vectors are turned into PCA axes, and the classes of a
+label are sorted along the first of them, as angles to it; runs of neighbours are tiles, so a hot label is
+many tiles.  The angle between two vectors is at least the difference of these angles: tiles further apart
+than the threshold's angle are never brought together.  A pair of the rest meets in the task of one of the
+two, which holds its own tile and lets the others pass, so a tile travels once for each partner.
+
+There, blocks of neighbours are compared: the products of the leading axes are summed first, and with the
+norms of what is left of both vectors as bound for the rest, pairs that cannot reach the threshold stop.
+Those left go on over the next axes, and pairs within rounding of the threshold are settled by the plain
+double-precision cosine.
 
 A pair of tiles returns a row per vector with links: the number of vectors it links to there and the
 smallest linked id reachable within the two tiles.  Linked pairs themselves are never emitted.
@@ -13,10 +18,10 @@ smallest linked id reachable within the two tiles.  Linked pairs themselves are
 The axes come from a bounded sample (AXES_SAMPLE rows); they change the speed, never the links.
 
 Defined results: a row whose id, label or vector is null, or whose vector is empty, zero or holds null or
-non-finite components, links with nothing and is its own
-component; vectors of different length do
-not link; n_links counts rows, so repeated ids count each time; an id
-names one node, so rows that repeat it share a component.
+non-finite components, links with nothing and is its own component; labels are compared as they are, of
+any type; vectors of different length do not link; n_links counts rows, equal vectors included; rows that
+repeat an id are one node: they share a component, and the links of all of them; an empty table gives an
+empty result; columns besides id, vector and label are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, shuffle_partitions, table
 from ledgerline.llm.components import components
-from ledgerline.llm.vectors import BLOCK, Block, pack, usable
+from ledgerline.llm.vectors import BLOCK, BLOCK_BYTES, block_rows, matrices, matrix, usable
 
 THRESHOLD = 0.93
 AXES_SAMPLE = 10_000
 #: Leading axes that are summed before each look at the bound, as shares of all axes.
 LOOKS = (0.25, 0.5)
-ROUNDING = 1e-9
+#: Rows of a tile that are compared at once.
+AT_ONCE = 1024
+ROUNDING, ANGLE_ROUNDING = 1e-9, 1e-6
 
 
 def axes(sample: list[list[float]]) -> dict[int, np.ndarray]:
@@ -45,38 +52,42 @@ def axes(sample: list[list[float]]) -> dict[int, np.ndarray]:
     by: dict[int, list] = {}
     for v in sample:
         by.setdefault(len(v), []).append(v)
-    out = {}
-    for dim, rows in by.items():
-        m = np.array(rows, np.float64)
-        m /= np.linalg.norm(m, axis=1)[:, None]
-        out[dim] = np.linalg.eigh(m.T @ m)[1][:, ::-1].copy()
-    return out
+    return {dim: np.linalg.eigh((m := unit(np.array(rows, np.float64))).T @ m)[1][:, ::-1].copy() for dim, rows in by.items()}
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    scaled = rows / np.abs(rows).max(axis=1)[:, None]
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+
+
+def angles(rows: np.ndarray, turn: np.ndarray | None) -> np.ndarray:
+    """The angle of each row to the first axis (the first dimension, where no axes are known)."""
+    u = unit(rows)
+    return np.arccos(np.clip(u[:, 0] if turn is None else u @ turn[:, 0], -1, 1))
 
 
 class Tile:
-    def __init__(self, blocks: list[Block], turn: np.ndarray | None) -> None:
-        self.ids = np.concatenate([b.ids for b in blocks])
-        self.weights = np.concatenate([b.weights for b in blocks])
-        self.plain = np.concatenate([b.rows for b in blocks])
-        # Scaled by the largest component first, so that squares neither overflow nor vanish.
-        scaled = self.plain / np.abs(self.plain).max(axis=1)[:, None]
-        unit = scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
-        self.unit = unit if turn is None else unit @ turn
-        self.rest = [np.sqrt(np.einsum("ij,ij->i", self.unit[:, c:], self.unit[:, c:])) for c in self.looks()]
-
-    def looks(self) -> list[int]:
-        return [max(1, math.ceil(share * self.unit.shape[1])) for share in LOOKS]
-
-
-def links(a: Tile, b: Tile, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of linked pairs; with ``same``, i < j only."""
-    first, second = a.looks()
-    total = a.unit[:, :first] @ b.unit[:, :first].T
-    may = total + np.outer(a.rest[0], b.rest[0]) >= threshold - ROUNDING
-    if same:
+    """Neighbours along the first axis."""
+
+    def __init__(self, row: dict, turn: np.ndarray | None) -> None:
+        self.ids, self.weights, self.angles = (np.frombuffer(row[c], kind) for c, kind in (("ids", np.int64), ("weights", np.int64), ("angles", np.float64)))
+        self.plain = matrix(row["rows"], row["dim"])
+        self.unit = unit(self.plain) if turn is None else unit(self.plain) @ turn
+        self.looks = [max(1, math.ceil(share * row["dim"])) for share in LOOKS]
+        self.rest = [np.sqrt(np.einsum("ij,ij->i", self.unit[:, c:], self.unit[:, c:])) for c in self.looks]
+
+
+def links(a: Tile, b: Tile, x: slice, y: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of linked pairs of rows ``x`` of one tile and ``y`` of another; within one tile, i < j only."""
+    first, second = a.looks
+    total = a.unit[x, :first] @ b.unit[y, :first].T
+    may = total + np.outer(a.rest[0][x], b.rest[0][y]) >= threshold - ROUNDING
+    if a is b and x == y:
         may = np.triu(may, 1)
     i, j = np.nonzero(may)
     total = total[i, j]
+    i, j = i + x.start, j + y.start
     for start, end, rest in ((first, second, 1), (second, a.unit.shape[1], None)):
         for at in range(0, len(i), 1 << 16):  # in stretches, for the memory of the gathered rows
             s = slice(at, at + (1 << 16))
@@ -87,8 +98,8 @@ def links(a: Tile, b: Tile, same: bool, threshold: float = THRESHOLD) -> tuple[n
     near = np.abs(total - threshold) <= ROUNDING
     good = ~near
     for k in np.nonzero(near)[0]:
-        x, y = a.plain[i[k]], b.plain[j[k]]
-        good[k] = float(x @ y) / (math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))) >= threshold
+        p, q = a.plain[i[k]], b.plain[j[k]]
+        good[k] = float(p @ q) / (math.sqrt(float(p @ p)) * math.sqrt(float(q @ q))) >= threshold
     return i[good], j[good]
 
 
@@ -104,53 +115,117 @@ def smallest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarra
             return label
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``vectors``: id, n_links, component_id, kept."""
+def compared(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows with links between two tiles (or within one): id, number of rows linked, smallest id reachable."""
+    same, shift = a is b, 0 if a is b else len(a.ids)
+    ids = a.ids if same else np.concatenate([a.ids, b.ids])
+    n, label, merged = np.zeros(len(ids), np.int64), ids.copy(), []
+    wide = math.acos(max(-1.0, threshold)) + ANGLE_ROUNDING
+    parts = lambda t: [slice(k, min(k + AT_ONCE, len(t.ids))) for k in range(0, len(t.ids), AT_ONCE)]
+    for x in parts(a):
+        for y in parts(b):
+            if same and y.start < x.start or max(b.angles[y.start] - a.angles[x.stop - 1], a.angles[x.start] - b.angles[y.stop - 1]) > wide:
+                continue
+            i, j = links(a, b, x, y, threshold)
+            if not len(i):
+                continue
+            np.add.at(n, i, b.weights[j])
+            np.add.at(n, j + shift, a.weights[i])
+            rows, at = np.unique(np.concatenate([i, j + shift]), return_inverse=True)
+            new = smallest(len(rows), at[: len(i)], at[len(i) :], label[rows])
+            if (changed := new != label[rows]).any():
+                merged.append(np.unique(np.stack([label[rows][changed], new[changed]]), axis=1))
+                label[rows] = new
+    if merged:
+        # Labels that met in some block are one from there on, wherever else they stand.
+        old, new = np.concatenate(merged, axis=1)
+        nodes, at = np.unique(np.concatenate([old, new]), return_inverse=True)
+        root = smallest(len(nodes), at[: len(old)], at[len(old) :], nodes)
+        known = np.minimum(np.searchsorted(nodes, label), len(nodes) - 1)
+        label = np.where(nodes[known] == label, root[known], label)
+    hit = np.nonzero(n)[0]
+    return ids[hit], n[hit], label[hit]
+
+
+def _tiles(classes: DataFrame, turn: dict[int, np.ndarray], partitions: int, most: int) -> DataFrame:
+    """Classes (key, dim, id, weight, vector) as tiles: runs of rows of one label and length, by their angle."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = np.empty(batch.num_rows)
+            for at, rows in matrices(batch):
+                angle[at] = angles(rows, turn.get(rows.shape[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angle)], names=[*batch.schema.names, "angle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, at, held = TaskContext.get().partitionId() << 33, None, []
+
+        def out() -> pa.RecordBatch:
+            ids, weights, angle, rows = (np.concatenate(x) for x in zip(*held))
+            made = [pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([number]), pa.array([angle[0]]), pa.array([angle[-1]]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, weights, angle, rows))]
+            return pa.RecordBatch.from_arrays(made, names=["key", "dim", "tile", "low", "high", "ids", "weights", "angles", "rows"])
+
+        for batch in batches:
+            key = np.array(batch.column("key").to_pylist(), object)
+            ids, weights, angle = (batch.column(c).to_numpy() for c in ("id", "weight", "angle"))
+            for spot, rows in matrices(batch):
+                cuts = np.flatnonzero(key[spot[1:]] != key[spot[:-1]]) + 1
+                for here, part in zip(np.split(spot, cuts), np.split(rows, cuts)):
+                    own, size = (key[here[0]], part.shape[1]), block_rows(part.shape[1], most)
+                    for start in range(0, len(here), size):
+                        some = here[start : start + size]
+                        if held and (own != at or sum(len(h[0]) for h in held) + len(some) > size):
+                            yield out()
+                            number, held = number + 1, []
+                        at = own
+                        held.append((ids[some], weights[some], angle[some], part[start : start + size].copy()))
+        if held:
+            yield out()
+
+    placed = classes.select("key", "dim", "id", "weight", "vector").mapInArrow(place, "key string, dim int, id long, weight long, vector array<double>, angle double")
+    dealt = placed.repartitionByRange(partitions, "key", "dim", "angle", "id").sortWithinPartitions("key", "dim", "angle", "id")
+    return dealt.mapInArrow(run, "key string, dim int, tile long, low double, high double, ids binary, weights binary, angles binary, rows binary")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, most: int = BLOCK) -> DataFrame:
+    """One row per row of ``vectors``: id, n_links, component_id, kept.  ``most``: rows of a tile at most."""
     spark = vectors.sparkSession
     partitions = shuffle_partitions(spark)
     some = F.exists(F.col(vector_col), lambda x: x != 0)
     good = usable(F.col(vector_col)) & F.coalesce(some, F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.when(good, F.transform(F.col(vector_col), lambda x: x.cast("double"))).alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(good, F.transform(F.col(vector_col), lambda x: x.cast("double"))).alias("vector"))
     usual = rows.where("vector is not null")
-    classes = cut(usual.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn("dim", F.size("vector")), "vector-classes")
+    classes = usual.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    classes = cut(classes.select("*", F.col("label").cast("string").alias("key"), F.size("vector").alias("dim")), "vector-classes")
     turn = axes([r[0] for r in classes.select("vector").orderBy(F.xxhash64("id")).limit(AXES_SAMPLE).collect()])
-    per_label = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).alias("tiles"))
-    dealt = classes.join(per_label, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    packed = pack(dealt, partitions, block).join(per_label, ["label", "dim"])
-    pairs = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    pairs = pairs.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
-
-    def compare(blocks: list[tuple[int, Block]], low: int, high: int, dim: int) -> pa.RecordBatch:
-        sides = [[b for t, b in blocks if t == side] for side in (low, high)]
-        found_id, found_n, found_root = [], [], []
-        if all(sides):
-            a = Tile(sides[0], turn.get(dim))
-            b = a if low == high else Tile(sides[1], turn.get(dim))
-            i, j = links(a, b, low == high, threshold)
-            shift = 0 if low == high else len(a.ids)
-            ids = a.ids if low == high else np.concatenate([a.ids, b.ids])
-            weights = a.weights if low == high else np.concatenate([a.weights, b.weights])
-            j = j + shift
-            n = np.bincount(i, weights[j], len(ids)) + np.bincount(j, weights[i], len(ids))
-            hit = np.nonzero(n)[0]
-            found_id, found_n, found_root = ids[hit], n[hit].astype(np.int64), smallest(len(ids), i, j, ids)[hit]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found_id, found_n, found_root)], names=["id", "n", "root"])
+    # So many ranges that each holds about a tile.
+    size = classes.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    tiles = cut(_tiles(classes, turn, max(1, min(partitions, math.ceil(size / BLOCK_BYTES))), most), "vector-tiles")
+    near = F.greatest(F.col("b.low") - F.col("a.high"), F.col("a.low") - F.col("b.high")) <= math.acos(max(-1.0, threshold)) + ANGLE_ROUNDING
+    spots = tiles.select("key", "dim", "tile", "low", "high")
+    pairs = spots.alias("a").join(spots.alias("b"), ["key", "dim"]).where(near & (F.col("a.tile") < F.col("b.tile")))
+    # The owner is either of the two, so that all tiles have about as many partners.
+    swap = F.pmod(F.xxhash64("a.tile", "b.tile"), F.lit(2)) == 0
+    guests = pairs.select(F.when(swap, F.col("a.tile")).otherwise(F.col("b.tile")).alias("owner"), F.when(swap, F.col("b.tile")).otherwise(F.col("a.tile")).alias("tile"))
+    data = tiles.drop("key", "low", "high")
+    cells = data.withColumn("owner", F.col("tile")).unionByName(data.join(guests, "tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        own, number = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["label"], row["dim"], row["low"], row["high"])
-                if key != at and held:
-                    yield compare(held, at[2], at[3], at[1])
-                    held = []
-                at = key
-                held.append((row["tile"], Block(row)))
-        if held:
-            yield compare(held, at[2], at[3], at[1])
-
-    cells = pairs.repartition(partitions, "label", "dim", "low", "high").sortWithinPartitions("label", "dim", "low", "high")
-    found = cut(cells.mapInArrow(run, "id long, n long, root long"), "vector-links")
+            for nth in range(batch.num_rows):
+                row = {c: batch.column(c)[nth].as_py() for c in batch.schema.names}
+                here = Tile(row, turn.get(row["dim"]))
+                if row["owner"] != number:
+                    own, number = here, row["owner"]
+                made = compared(own, here, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["id", "n", "root"])
+
+    # A tile comes before its guests.
+    met = cells.repartition(partitions, "owner").sortWithinPartitions("owner", F.col("tile") != F.col("owner"), "tile").mapInArrow(run, "id long, n long, root long")
+    found = cut(met, "vector-links")
     component = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.join(counts, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")

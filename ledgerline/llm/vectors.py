@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-BLOCK = 2048
-PACKED = "label int, dim int, tile long, ids binary, weights binary, rows binary"
+#: Bytes of the vectors of a block, and the most rows of one.
+BLOCK_BYTES, BLOCK = 8 << 20, 1 << 15
+#: Vector lengths that a task collects blocks of at a time.
+OPEN = 8
 
 
 def usable(vector: Column) -> Column:
@@ -20,41 +21,59 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
-def pack(rows: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
-    """Rows (label, dim, tile, id, weight, vector array<double>) as blocks of at most ``block`` rows.
+def block_rows(dim: int, most: int = BLOCK) -> int:
+    """Rows of a block of vectors of ``dim`` doubles."""
+    return max(1, min(most, BLOCK_BYTES // (8 * dim)))
 
-    The rows of one (label, dim, tile) come to one task in order and are cut into blocks as they pass;
-    the caller chooses tiles by a hash, so no tile is hot but by repeated rows, which only make more blocks.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of rows of one vector length: their numbers and their vectors as a matrix."""
+    vectors = batch.column("vector")
+    offsets = vectors.offsets.to_numpy()
+    flat, dims = vectors.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+    cuts = np.concatenate([[0], np.flatnonzero(dims[1:] != dims[:-1]) + 1, [len(dims)]])
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        if start < end:
+            yield np.arange(start, end), flat[offsets[start] : offsets[end]].reshape(end - start, dims[start])
+
 
-        def out() -> pa.RecordBatch:
-            ids, weights, vectors = zip(*held)
-            made = [np.array(ids, np.int64).tobytes(), np.array(weights, np.int64).tobytes(), np.concatenate(vectors).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([at[2]], pa.int64()), *(pa.array([m], pa.binary()) for m in made)], names=["label", "dim", "tile", "ids", "weights", "rows"])
+def blocks(rows: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Rows (id, vector array<double>) as blocks (dim, block, n, ids, rows) of one vector length each, where they are: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(dim: int, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            size = block_rows(dim, most)
+            ids, made = (np.concatenate(x) for x in zip(*held[dim]))
+            for at in range(0, len(ids), size):
+                if not whole and len(ids) - at < size:
+                    held[dim] = [(ids[at:], made[at:])]
+                    return
+                part = ids[at : at + size]
+                columns = [pa.array([dim], pa.int32()), pa.array([number]), pa.array([len(part)]), *(pa.array([x.tobytes()], pa.binary()) for x in (part, made[at : at + size]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["dim", "block", "n", "ids", "rows"])
+                number += 1
+            del held[dim]
 
         for batch in batches:
-            vectors = batch.column("vector")
-            flat, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-            for i, (key, n, w) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "tile"))), batch.column("id").to_pylist(), batch.column("weight").to_pylist())):
-                if held and (key != at or len(held) == block):
-                    yield out()
-                    held.clear()
-                at = key
-                held.append((n, w, flat[offsets[i] : offsets[i + 1]].copy()))
-        if held:
-            yield out()
-
-    dealt = rows.select("label", "dim", "tile", "id", "weight", "vector").repartition(partitions, "label", "dim", "tile")
-    return dealt.sortWithinPartitions("label", "dim", "tile", "id").mapInArrow(run, PACKED)
-
-
-class Block:
-    """One packed row, unpacked."""
-
-    def __init__(self, row: dict) -> None:
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.weights = np.frombuffer(row["weights"], np.int64)
-        self.rows = np.frombuffer(row["rows"], np.float64).reshape(len(self.ids), row["dim"])
+            ids = batch.column("id").to_numpy()
+            for at, made in matrices(batch):
+                dim = made.shape[1]
+                held.setdefault(dim, []).append((ids[at], made.copy()))
+                if sum(len(x) for x, _ in held[dim]) >= block_rows(dim, most):
+                    yield from out(dim, False)
+                while len(held) > OPEN:
+                    yield from out(next(iter(held)), True)
+        for dim in list(held):
+            yield from out(dim, True)
+
+    return rows.select("id", "vector").mapInArrow(run, "dim int, block long, n long, ids binary, rows binary")
+
+
+def matrix(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(-1, dim)

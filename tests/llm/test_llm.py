@@ -317,8 +317,9 @@ def test_top_k(spark, block):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [2048, 25])
-def test_vector_dedup(spark, block):
+@pytest.mark.parametrize("most,at_once", [(1 << 15, 1024), (25, 1024), (25, 7), (1 << 15, 9)])
+def test_vector_dedup(spark, monkeypatch, most, at_once):
+    monkeypatch.setattr(vector_dedup, "AT_ONCE", at_once)
     rows, df = vectors_of(spark)
     ok = {i: (np.array(v), lab) for i, v, lab in rows if good(v) and any(v) and lab is not None}
     near = defaultdict(set)
@@ -327,7 +328,7 @@ def test_vector_dedup(spark, block):
             if i != j and a == b and len(x) == len(y) and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= 0.93:
                 near[i].add(j)
     comp = reach(near, [r[0] for r in rows])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df, most=most).collect()}
     assert got == {i: (len(near[i]), comp[i], comp[i] == i) for i, _, _ in rows}
 
 
