@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, shuffle_partitions, table
-from ledgerline.llm.vectors import blocks, matrix, usable
+from ledgerline.llm.vectors import blocks, dealt, matrix, usable
 
 SCALE, K, EVERY = 256.0, 5, 50
 #: Shares of the lists that are read before each look at the bounds.
@@ -146,9 +146,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     groups = max(1, math.ceil((asked.agg(F.sum("n")).first()[0] or 0) / held))
     cells = max(1, math.ceil(partitions / groups))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    queries = asked.select("*", F.lit(0).alias("kind"), deal(groups).alias("group"), to(cells).alias("cell"))
-    candidates = blocks(part.select(*row), block).select("*", F.lit(1).alias("kind"), to(groups).alias("group"), deal(cells).alias("cell"))
+    number = F.col("block")
+    queries = asked.select("*", F.lit(0).alias("kind"), dealt(number, groups).alias("group"), to(cells).alias("cell"))
+    candidates = blocks(part.select(*row), block).select("*", F.lit(1).alias("kind"), to(groups).alias("group"), dealt(number, cells).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asking = None, []
@@ -167,8 +167,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                         a.meet(ids, lists)
         yield from (a.found() for a in asking)
 
-    dealt = queries.unionByName(candidates).repartition(partitions, "dim", "group", "cell").sortWithinPartitions("dim", "group", "cell", "kind", "block")
-    best = dealt.mapInArrow(run, "block long, nth long, query_id long, vec_id long, score long")
+    # One task for each place of the grid; a hash would give some tasks two and others none.
+    grid = queries.unionByName(candidates).repartitionById(groups * cells, F.col("group") * cells + F.col("cell")).sortWithinPartitions("dim", "group", "cell", "kind", "block")
+    best = grid.mapInArrow(run, "block long, nth long, query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("block", "nth").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

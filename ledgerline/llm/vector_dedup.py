@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, shuffle_partitions, table
 from ledgerline.llm.components import components
-from ledgerline.llm.vectors import BLOCK, BLOCK_BYTES, block_rows, matrices, matrix, usable
+from ledgerline.llm.vectors import BLOCK, BLOCK_BYTES, block_rows, dealt, matrices, matrix, usable
 
 THRESHOLD = 0.93
 AXES_SAMPLE = 10_000
@@ -185,8 +185,8 @@ def _tiles(classes: DataFrame, turn: dict[int, np.ndarray], partitions: int, mos
             yield out()
 
     placed = classes.select("key", "dim", "id", "weight", "vector").mapInArrow(place, "key string, dim int, id long, weight long, vector array<double>, angle double")
-    dealt = placed.repartitionByRange(partitions, "key", "dim", "angle", "id").sortWithinPartitions("key", "dim", "angle", "id")
-    return dealt.mapInArrow(run, "key string, dim int, tile long, low double, high double, ids binary, weights binary, angles binary, rows binary")
+    ranged = placed.repartitionByRange(partitions, "key", "dim", "angle", "id").sortWithinPartitions("key", "dim", "angle", "id")
+    return ranged.mapInArrow(run, "key string, dim int, tile long, low double, high double, ids binary, weights binary, angles binary, rows binary")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, most: int = BLOCK) -> DataFrame:
@@ -224,7 +224,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["id", "n", "root"])
 
     # A tile comes before its guests.
-    met = cells.repartition(partitions, "owner").sortWithinPartitions("owner", F.col("tile") != F.col("owner"), "tile").mapInArrow(run, "id long, n long, root long")
+    met = cells.repartitionById(partitions, dealt(F.col("owner"), partitions)).sortWithinPartitions("owner", F.col("tile") != F.col("owner"), "tile").mapInArrow(run, "id long, n long, root long")
     found = cut(met, "vector-links")
     component = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

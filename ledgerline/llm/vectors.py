@@ -37,6 +37,11 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.arange(start, end), flat[offsets[start] : offsets[end]].reshape(end - start, dims[start])
 
 
+def dealt(number: Column, places: int) -> Column:
+    """A place from 0 on for a block, by its number (task << 33 | place in the task): evenly where tasks make about as many."""
+    return F.pmod(F.shiftright(number, 33) * 31 + number.bitwiseAND(F.lit((1 << 33) - 1)), F.lit(places)).cast("int")
+
+
 def blocks(rows: DataFrame, most: int = BLOCK) -> DataFrame:
     """Rows (id, vector array<double>) as blocks (dim, block, n, ids, rows) of one vector length each, where they are: no shuffle."""
 
