@@ -7,9 +7,13 @@ score.  Positions come from the gaps that ``split`` leaves between the matches o
 The four base kinds (email, ip, card, phone) are always reported once their validator agrees; the
 context only moves their score.  The added kinds (iban, ssn) are reported from ``threshold`` on.
 
+Work is linear in the length of a text and, but for a small factor, in its matches: sums run in chunks of
+matches, and what is near a span comes from pieces of the text.
+
 Defined results: a null text counts as empty; an empty text has no span; spans are offsets in code
-points, end exclusive; spans of different kinds may overlap; repeated rows each get their own;
-columns besides id and text are ignored, whatever their names.
+points, end exclusive; spans of different kinds may overlap; repeated rows and rows without an id each get
+their own; an empty table gives an empty result; columns besides id and text are ignored, or pass through
+``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,6 +59,8 @@ PRIOR = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn":
 BONUS = 0.25
 #: Code points before and after a span that are searched for context words.
 NEAR = 40
+#: Matches that are summed up at a time; code points of a piece of text (and NEAR more at both ends).
+CHUNK, PIECE = 128, 4096
 
 
 def _digits(value: Column) -> Column:
@@ -101,42 +107,64 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(matches: Column, gaps: Column) -> Column:
-    """array<struct<start, end, value>>: where each match stands, from the lengths of gaps and matches."""
-    ends = F.aggregate(
-        F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"))),
-        F.expr("cast(array(0) as array<int>)"),
-        lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x["gap"] + F.coalesce(x["own"], F.lit(0)))),
-    )
-    return F.zip_with(matches, F.slice(ends, F.lit(2), F.size(matches)), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``findings``: array<struct<start, rank, end, kind, score>>, sorted; rank orders the kinds.
-
-    Returns id, text (null: empty), the columns in ``keep``, and findings.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias(text_col), *keep)
-    text = F.col(text_col)
-    none = F.expr("cast(array() as array<string>)")
-    proposed = rows.select("*", *(F.when(F.contains(text, F.lit(NEEDS[k])) if k in NEEDS else F.lit(True), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"_{k}") for k, p in PATTERNS.items()))
+def _chunked(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK items, so that sums and joins over it stay linear."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK))))
+
+
+def _ends(chunks: Column) -> Column:
+    """Running sums of the fields ``gap`` and ``own`` over chunks of structs, as one array: in chunks first, then over them."""
+    none = F.expr("cast(array() as array<int>)")
+    last = lambda out: F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0))
+    inner = F.transform(chunks, lambda chunk: F.aggregate(chunk, none, lambda out, x: F.concat(out, F.array(last(out) + x["gap"] + x["own"]))))
+    return F.flatten(F.aggregate(inner, F.expr("cast(array() as array<array<int>>)"), lambda out, part: F.concat(out, F.array(F.transform(part, lambda e: e + last(F.coalesce(F.try_element_at(out, F.lit(-1)), none)))))))
+
+
+def _found(docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """(_row: the columns of ``docs`` as one struct, _text, _findings); the names of ``docs`` meet no helper's."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    text, none = F.col("_text"), F.expr("cast(array() as array<string>)")
+    may = {k: F.contains(text, F.lit(NEEDS[k])) if k in NEEDS else F.lit(True) for k in PATTERNS}
+    rows = rows.select("*", *(F.when(may[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"_{k}") for k, p in PATTERNS.items()))
+    # Gaps between the matches, with the matches' lengths; then the text in overlapping pieces, for what is near a span.
+    sized = lambda k: F.zip_with(F.slice(F.split(text, PATTERNS[k], -1), F.lit(1), F.size(f"_{k}")), F.col(f"_{k}"), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
+    rows = rows.select("*", *(F.when(F.size(f"_{k}") > 0, sized(k)).alias(f"_{k}_sizes") for k in PATTERNS))
+    any_found = F.lit(False)
+    for k in PATTERNS:
+        any_found = any_found | (F.size(f"_{k}") > 0)
+    piece = lambda i: F.substr(text, F.greatest(i * PIECE - NEAR, F.lit(0)) + 1, F.lit(PIECE + 2 * NEAR))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), piece)
+    rows = rows.select("*", *(_chunked(F.col(f"_{k}_sizes")).alias(f"_{k}_chunks") for k in PATTERNS), F.when(any_found, pieces).alias("_pieces"))
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,score:double>>)")
 
     def spans(kind: str) -> Column:
-        def judged(x: Column) -> Column:
+        def near(x: Column) -> Column:
+            """NEAR code points before a span and after it; its end may lie in a later piece."""
+            at = lambda i: F.greatest(i * PIECE - NEAR, F.lit(0))
+            first, last = F.floor(x["start"] / PIECE).cast("int"), F.floor(x["end"] / PIECE).cast("int")
             before = F.greatest(x["start"] - NEAR, F.lit(0))
-            near = F.lower(F.concat(F.substr(text, before + 1, x["start"] - before), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(NEAR))))
-            score = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
+            return F.lower(F.concat(F.substr(F.get("_pieces", first), before - at(first) + 1, x["start"] - before), F.lit(" "), F.substr(F.get("_pieces", last), x["end"] - at(last) + 1, F.lit(NEAR))))
+
+        def judged(x: Column) -> Column:
+            score = F.lit(PRIOR[kind]) + F.when(near(x).rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
             return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-        located = _located(F.col(f"_{kind}"), F.split(text, PATTERNS[kind], -1))
+        located = F.zip_with(F.col(f"_{kind}"), _ends(F.col(f"_{kind}_chunks")), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
         good = F.transform(F.filter(located, lambda x: confirmed(kind, x["value"])), judged)
         if kind not in BASE:
             good = F.filter(good, lambda s: s["score"] >= threshold)
         return F.when(F.size(f"_{kind}") > 0, good).otherwise(empty)
 
-    return proposed.select(id_col, text_col, *keep, F.array_sort(F.concat(*map(spans, KINDS))).alias("findings"))
+    return rows.select("_row", "_text", F.array_sort(F.concat(*map(spans, KINDS))).alias("_findings"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``findings``: array<struct<start, rank, end, kind, score>>, sorted; rank orders the kinds.
+
+    Returns id, text (null: empty), the columns in ``keep`` (but for one named ``findings``), and findings.
+    """
+    found = _found(docs, text_col, threshold)
+    return found.select(F.col("_row")[id_col].alias(id_col), F.col("_text").alias(text_col), *(F.col("_row")[c].alias(c) for c in keep if c != "findings"), F.col("_findings").alias("findings"))
 
 
 def listed(findings: Column) -> Column:
@@ -147,20 +175,28 @@ def listed(findings: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span found replaced by its kind in brackets; where spans overlap, the first's kind stands.
 
-    A null text becomes an empty one.  All other columns pass unchanged.
+    A null text becomes an empty one.  All other columns pass unchanged, whatever their names.
     """
-    keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = find(docs, id_col, text_col, threshold, keep)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("findings", start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    redacted = F.when(F.size("findings") > 0, clean).otherwise(text)
-    return found.select(*(redacted.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    found = _found(docs, text_col, threshold)
+    found = found.select("*", _chunked(F.col("_findings")).alias("_chunks"))
+    text = F.col("_text")
+
+    def one(acc: Column, s: Column) -> Column:
+        """A span after ``at``: the text before it, and its kind.  ``region`` is the text of the chunk, from ``base`` on."""
+        fresh = F.concat(acc["out"], F.array(F.substr(acc["region"], acc["at"] - acc["base"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        out = F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), acc["base"].alias("base"), acc["region"].alias("region"))
+
+    def many(acc: Column, chunk: Column) -> Column:
+        reach = F.array_max(F.transform(chunk, lambda s: s["end"]))
+        region = F.substr(text, acc["at"] + 1, F.greatest(reach - acc["at"], F.lit(0)))
+        start = F.struct(acc["at"].alias("at"), F.expr("cast(array() as array<string>)").alias("out"), acc["at"].alias("base"), region.alias("region"))
+        # The end of what is done and the text so far leave the chunk as one struct.
+        return F.aggregate(chunk, start, one, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array_join(x["out"], "")).alias("out")))
+
+    clean = F.aggregate("_chunks", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), many, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    redacted = F.when(F.size("_findings") > 0, clean).otherwise(text)
+    return found.select(*((redacted if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
