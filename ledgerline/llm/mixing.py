@@ -9,11 +9,15 @@ its target but for the last open document.
 The steps form a reduction tree: leaves are fixed ranges of a hash of the row within a source, each
 leaf leaves at most one open document, and sixteen leaves meet in one node of the next level.  Leaves
 and random numbers depend on the rows alone, never on partitions, so reruns agree and a lost
-executor's work comes out the same.  A hot source is spread over many leaves.
+executor's work comes out the same.  A hot source is spread over many leaves.  Rows that are equal in all
+columns are one item of the tree, with their expected copies summed up, so however many there are they make
+one row of one leaf.
 
 Defined results: a null text has size 0; a document of size 0 is taken with its fraction as chance
-(0 words); the null source is a source of its own, last in order; identical rows are interchangeable;
-an empty table gives an empty result; columns besides id, text and source pass through ``mix``.
+(0 words); the null source is a source of its own, last in order; sources that reach their cap together do
+so in the order of their names; equal rows are interchangeable, and their copies differ by one at most;
+rows without an id are told apart by their other columns; an empty table gives an empty result; columns
+besides id, text and source pass through ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET, CAP = 1.5, 2.0
 #: Rows of a leaf, roughly, and bits of the hash that a level of the tree merges.
 LEAF, STEP = 512, 4
+#: Equal rows that are written out at once.
+MANY = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     budget, found by walking the sources in the order in which they reach their cap.  There is one row
     per source, so the walk is a window over a small table.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"))
     in_order = Window.orderBy(F.asc_nulls_last("source"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(in_order) - 1) % len(weights) + 1)
     rows = totals.withColumn("weight", weight).withColumn("stop", cap * F.col("source_size") / F.col("weight"))
@@ -75,7 +81,7 @@ def pivot(p: float, s: int, q: float, t: int, u: float) -> tuple[float, float]:
     return (0.0, q + down / t) if p * s < (1 - q) * t else ((0.0 if p * s == (1 - q) * t else p - down / s), 1.0)
 
 
-ROW = "row_hash long, row_id long, key long, source string, size long, source_size long, target double, whole int, part double, leaf long"
+ROW = "row_hash long, row_id long, key long, alike long, source string, size long, source_size long, target double, whole long, part double, leaf long"
 
 
 def _level(rows: DataFrame, seed: int, root: bool) -> DataFrame:
@@ -115,19 +121,35 @@ def _closed(row: dict, seed: int) -> dict:
     return row | {"part": float(_unit(row["row_hash"], 1, seed) < row["part"])}
 
 
+def _key(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no order, by their text."""
+    return F.xxhash64(*(F.to_json(f"`{c}`") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """One row per document: row_id, key (hash of its id, source and text), source, size, source_size, target, copies."""
+    """One row per document: row_id, key (hash of all its columns), source, size, source_size, target, copies."""
+    each = _alike(docs, id_col, text_col, source_col, seed)
+    # The first of equal rows take one more where their copies don't come out even; two steps keep arrays short.
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / MANY)))
+    rows = each.withColumn("_at", some)
+    nth = F.explode(F.sequence(F.col("_at") * MANY, F.least((F.col("_at") + 1) * MANY, F.col("alike")) - 1))
+    copies = F.floor(F.col("copies") / F.col("alike")) + (F.col("_nth") < F.col("copies") % F.col("alike")).cast("int")
+    return rows.withColumn("_nth", nth).withColumn("copies", copies.cast("int")).drop("_at", "_nth", "alike")
+
+
+def _alike(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """One row per set of equal documents: as ``mixed``, with their number in ``alike`` and all their copies together."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("row_id"), key.alias("key"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
+    own = docs.select(F.col(id_col).cast("long").alias("row_id"), _key(docs).alias("key"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    sized = cut(own.groupBy("row_id", "key", "source", "size").agg(F.count("*").alias("alike")), "mix-sizes")
     bits = max(0, math.ceil(math.log2(max(sized.count(), 1) / LEAF)))
     aim = targets(sized).withColumnRenamed("source", "of")
-    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
-    rows = sized.join(aim, sized["source"].eqNullSafe(aim["of"])).withColumn("expected", copies)
+    share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
+    rows = sized.join(aim, sized["source"].eqNullSafe(aim["of"])).withColumn("expected", share * F.col("alike"))
     row_hash = F.xxhash64("row_id", "key", F.lit(seed))
     level = rows.select(
-        row_hash.alias("row_hash"), "row_id", "key", "source", "size", "source_size", "target",
-        F.floor("expected").cast("int").alias("whole"), (F.col("expected") - F.floor("expected")).alias("part"),
+        row_hash.alias("row_hash"), "row_id", "key", "alike", "source", "size", "source_size", "target",
+        F.floor("expected").cast("long").alias("whole"), (F.col("expected") - F.floor("expected")).alias("part"),
         F.shiftrightunsigned(row_hash, 64 - bits).alias("leaf") if bits else F.lit(0).cast("long").alias("leaf"),
     )
     done = []
@@ -143,19 +165,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    return every.select("row_id", "key", "source", "size", "source_size", "target", (F.col("whole") + F.col("part").cast("int")).alias("copies"))
+    return every.select("row_id", "key", "alike", "source", "size", "source_size", "target", (F.col("whole") + F.col("part").cast("int")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it was taken (0, 1 or 2 times), with its own columns."""
-    taken = mixed(docs, id_col, text_col, source_col, seed)
-    per_key = taken.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)))
-    joined = keyed.join(per_key, F.col("_own") == F.col("_key"))
-    # Identical rows share a key: the n-th of them gets the n-th number.
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
-    copies = F.element_at("_copies", F.col("_nth"))
-    return joined.withColumn("_nth", nth).withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it was taken (0, 1 or 2 times), with its own columns.
+
+    Of equal rows one stands for all and is repeated as often as all of them were taken.
+    """
+    taken = _alike(docs, id_col, text_col, source_col, seed).where("copies > 0").select("row_id", "key", "alike", "copies")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own_id"), _key(docs).alias("own_key"))
+    joined = rows.join(taken, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("row_id")))
+    # The rank is cut to one before the shuffle, so equal rows make no hot task; their copies are written by many.
+    nth = F.row_number().over(Window.partitionBy("key", "row_id").orderBy("key"))
+    one = joined.where("alike > 1").withColumn("nth", nth).where("nth = 1").drop("nth")
+    parts = one.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / MANY)))).repartition(shuffle_partitions(docs.sparkSession), "key", "part")
+    many = parts.withColumn("n", F.explode(F.sequence(F.col("part") * MANY + 1, F.least((F.col("part") + 1) * MANY, F.col("copies")))))
+    every = joined.where("alike = 1").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row").unionByName(many.select("row"))
+    return every.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
