@@ -8,13 +8,13 @@ in parts of one seed page, reaches ``least`` and exceeds its trust: pages elsewh
 change that.  Trust and distrust are reported as shares of all seed pages.
 
 Ranks are integers (parts of UNIT) and follow an edge by its exact share, rounded down, so sums do not
-depend on the order of rows: reruns agree.  ORACLE still cuts edge shares to parts of SHARE and holds
-LEAST against a share of all seeds; without links between hosts, and with fewer than 150,000 blocked
-pages, both give the same rows.
+depend on the order of rows: reruns agree, and SQL can say the same.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; a null
-page text has no links; a host without links or seeds has trust and distrust 0 and is allowed;
-repeated rows each get their verdict; columns besides page_id, url and html are ignored.
+page text has no links; links without a host (relative ones) are none, links that begin with ``//`` are; a
+host without links or seeds has trust and distrust 0 and is allowed; where trust equals distrust the host
+is allowed; repeated rows count as pages each, and each gets the verdict; an empty table gives an empty
+result; columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Parts of a rank of 1; parts of an edge share, in ORACLE only.
-UNIT, SHARE = 10**12, 10**6
+#: Parts of a rank of 1.
+UNIT = 10**12
 #: Percent of a rank that follows links; rounds; rounds between written tables; least distrust that blocks.
 FOLLOW, ROUNDS, WRITE, LEAST = 85, 12, 4, UNIT // 10**6
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Links with a host; one that begins with ``//`` has its page's scheme.
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +65,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     src, _ = parts(F.col("url"))
     link = F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)))
     links = pages.select(src.alias("src"), link.alias("link"))
-    dst, _ = parts(F.col("link"))
+    dst, _ = parts(F.when(F.startswith("link", F.lit("//")), F.concat(F.lit(":"), "link")).otherwise(F.col("link")))
     return links.select("src", dst.alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -127,24 +128,25 @@ def _oracle() -> str:
     steps = []
     for i in range(1, ROUNDS + 1):
         steps.append(
-            f"""r{i} AS MATERIALIZED (SELECT kind, host, CAST(sum(part * percent) // 100 AS BIGINT) AS rank FROM (
-  SELECT s.kind, dst AS host, rank * share // {SHARE} AS part, {FOLLOW} AS percent FROM shares s JOIN r{i - 1} r ON r.kind = s.kind AND r.host = s.src
-  UNION ALL SELECT kind, host, rank, {100 - FOLLOW} FROM r0) GROUP BY kind, host)"""
+            f"""r{i} AS MATERIALIZED (SELECT kind, host, CAST(sum(rank * percent) // 100 AS HUGEINT) AS rank, CAST(sum(weight * percent) // 100 AS HUGEINT) AS weight FROM (
+  SELECT s.kind, dst AS host, rank * n // a AS rank, weight * n // a AS weight, {FOLLOW} AS percent FROM shares s JOIN r{i - 1} r ON r.kind = s.kind AND r.host = s.src
+  UNION ALL SELECT kind, host, rank, weight, {100 - FOLLOW} FROM r0) GROUP BY kind, host)"""
         )
     link = LINK.removeprefix("(?i)").replace("'", "''")
     return f"""WITH rest AS (SELECT page_id, html, {rest("url")} AS rest FROM pages),
 urls AS MATERIALIZED (SELECT page_id, html, {split("rest")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
 ruled AS MATERIALIZED (SELECT *, {case("rule")} AS rule, {case("verdict")} AS found FROM urls),
 links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1, 'i')) AS link FROM urls),
-ends AS (SELECT src, {split(rest("link"))} AS dst FROM links),
+ends AS (SELECT src, {split(rest("CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END"))} AS dst FROM links),
 edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
-shares AS MATERIALIZED (SELECT kind, src, dst, CAST(n * {SHARE} // sum(n) OVER (PARTITION BY kind, src) AS BIGINT) AS share FROM both_ways),
+shares AS MATERIALIZED (SELECT kind, src, dst, CAST(n AS HUGEINT) AS n, CAST(sum(n) OVER (PARTITION BY kind, src) AS HUGEINT) AS a FROM both_ways),
 seeds AS (SELECT CASE found WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM ruled WHERE found IS NOT NULL AND host <> '' GROUP BY ALL),
-r0 AS MATERIALIZED (SELECT kind, host, CAST(CAST(n AS HUGEINT) * {UNIT} // sum(n) OVER (PARTITION BY kind) AS BIGINT) AS rank FROM seeds),
+r0 AS MATERIALIZED (SELECT kind, host, CAST(CAST(n AS HUGEINT) * {UNIT} // sum(n) OVER (PARTITION BY kind) AS HUGEINT) AS rank, CAST(n AS HUGEINT) * {UNIT} AS weight FROM seeds),
 {", ".join(steps)},
-hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY host)
-SELECT page_id, u.host, path, rule, coalesce(found, CASE WHEN coalesce(distrust, 0) >= {LEAST} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust,
+  coalesce(sum(weight) FILTER (kind = 'trust'), 0) AS good, coalesce(sum(weight) FILTER (kind = 'distrust'), 0) AS bad FROM r{ROUNDS} GROUP BY host)
+SELECT page_id, u.host, path, rule, coalesce(found, CASE WHEN bad >= {LEAST} AND bad > good THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
 FROM ruled u LEFT JOIN hosts h ON h.host = u.host"""
 
