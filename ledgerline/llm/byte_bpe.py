@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-Short texts are encoded whole where they are read.  A text longer than ``chunk`` code points is cut
-into chunks that overlap by ``overlap``; the chunks are dealt out over the cluster and pre-tokenised
-in parallel, each from its own first character.  A chunk may begin inside a pre-token, so its first
+A text is cut into chunks of ``chunk`` code points that overlap by ``overlap``, each pre-tokenised from its
+own first character and then stitched.  A text of one chunk is encoded where it is read; the chunks of
+longer ones are dealt out over the cluster first.  Both go through the same steps.  A chunk may begin inside a pre-token, so its first
 boundaries can be wrong; but the pattern looks back at nothing, so from the first boundary that it
 shares with the chunk before, both agree for good.  Each chunk encodes all its pre-tokens and keeps
 the boundaries inside its overlaps; a pass over the chunks of a document in order joins them at the
@@ -13,7 +13,8 @@ meets the later chunk: exact in every case.
 Decoding concatenates the raw bytes of the ids.
 
 Defined results: a null or empty text has no ids; special strings are ordinary text; repeated rows
-each get their own result; columns besides id and text are ignored, whatever their names.  The
+each get their own result, as do rows without an id; an empty table gives an empty result; columns besides
+id and text are ignored, whatever their names.  The
 operator returns ids as a binary of little-endian unsigned 32-bit integers.
 """
 
@@ -34,7 +35,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds memory, not results.
-MEMO = 150_000
+MEMO = 100_000
 
 
 def ranks_path(name: str = RANKS) -> str:
@@ -89,9 +90,6 @@ class Codec(dict):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(plain, start)]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
-
     def decode(self, ids: bytes) -> bytes:
         return self.library.decode_bytes(memoryview(ids).cast("I").tolist())
 
@@ -149,8 +147,8 @@ class Stitch:
 
 
 def encode_text(codec: Codec, text: str, chunk: int, overlap: int) -> bytes:
-    """All ids of ``text`` by chunks, as the cluster makes them; for tests."""
-    stitch, starts = Stitch(codec), list(range(0, max(len(text), 1), chunk))
+    """All ids of ``text`` by chunks."""
+    stitch, starts = Stitch(codec), range(0, max(len(text), 1), chunk)
     return b"".join(stitch.feed(Chunk.of(codec, s, text[s : s + chunk + overlap]), s == starts[-1]) for s in starts)
 
 
@@ -186,7 +184,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                (out := Out()).add(codec.encode(text), codec)
+                (out := Out()).add(encode_text(codec, text, chunk, overlap), codec)
                 rows.append(out.row())
             yield packed(batch.column(0), rows)
 
