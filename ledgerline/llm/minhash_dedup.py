@@ -19,9 +19,9 @@ With MIN_DEPTH 3 and 24 trees, a pair at the threshold of 0.75 shares no prefix
 probability (1 - 0.75**3)**24 = 2e-6.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; a text of
-fewer words than a shingle is one shingle; rows that repeat an id are one document of the component; a row without an id links with nothing and
-is kept;
-ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
+fewer words than a shingle is one shingle; rows that repeat an id are one node, with the links of all their
+texts; a row without an id links with nothing and is kept; ties go to the smaller id; an empty table gives an
+empty result; columns besides id and text are ignored, or pass through ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Bloom, cached, cut, shuffle_partitions, slices, table
@@ -41,10 +41,10 @@ from ledgerline.llm.vector_dedup import smallest
 WORDS, PERCENT = 5, 75
 TREES, MIN_DEPTH, DEPTH = 24, 3, 6
 SLACK = 5.5
-#: Classes of a tile where classes of different components are compared.
-TILE = 2048
+#: Classes of a tile where classes of different components are compared, and bytes of their sets.
+TILE, TILE_BYTES = 2048, 16 << 20
 SEED = 20_240_229
-MEMO = 200_000
+MEMO = 100_000
 
 
 class WordHashes(dict):
@@ -109,8 +109,13 @@ def least_agreement(percent: int = PERCENT) -> int:
     return math.floor(n * p - SLACK * math.sqrt(n * p * (1 - p)))
 
 
+def _twin(text_col: str) -> Column:
+    """A hash that tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sum and xor of hashes, signature (values as big-endian bytes) and marks (a byte of each value)."""
+    """id, twin, n, sum and xor of hashes, signature (values as big-endian bytes) and marks (a byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -120,10 +125,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sigs = [signature(s) if len(s) else None for s in sets]
             # One byte of each value is enough to compare signatures by; the keys of the trees hold more.
             made = [pa.array([None if s is None else f(s) for s in sigs], pa.binary()) for f in (lambda s: s.astype(">u4").tobytes(), lambda s: s.astype(np.uint8).tobytes())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), *made], names=["id", "n", "sum", "xor", "sig", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(xors, pa.int64()), *made], names=["id", "twin", "n", "sum", "xor", "sig", "marks"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, sum long, xor long, sig binary, marks binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _twin(text_col).alias("twin"))
+    return rows.mapInArrow(run, "id long, twin long, n long, sum long, xor long, sig binary, marks binary")
 
 
 def _trees(classes: DataFrame, depth: int, *others: str) -> DataFrame:
@@ -182,7 +187,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets (id, set) of the documents in ``ids``; of rows that repeat an id, one.
+    """Full shingle sets (id, set) of the documents in ``ids``; all different ones of rows that repeat an id.
 
     A bounded filter drops most other texts where they are read; the join is exact.
     """
@@ -195,24 +200,30 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     wanted = rows.withColumn("spots", bloom.spots()).mapInArrow(run, "id long, set binary")
-    return wanted.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return wanted.join(ids, "id", "left_semi").dropDuplicates(["id", "set"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough; sizes too far apart say no at once."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     of = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
     joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _renamed(pairs: DataFrame, component: DataFrame) -> DataFrame:
@@ -261,7 +272,7 @@ def _tiled(rows: DataFrame, group: str, others: tuple[str, ...], partitions: int
                 made = solve(a, a if at[1] == at[2] else Side(sides[1]), at[1] == at[2])
             return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=[c.split()[0] for c in schema.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches, 256):
             for row in zip(*(batch.column(c).to_pylist() for c in (group, "low", "high", "tile", "id", "comp", *others))):
                 if row[:3] != at:
                     if held:
@@ -309,10 +320,6 @@ def _settled(families: DataFrame, classes: DataFrame, sets: DataFrame, partition
 
     def solve(a: Side, b: Side, same: bool) -> tuple[np.ndarray, np.ndarray]:
         found: list[tuple[int, int]] = []
-        every = a.sets if same else a.sets + b.sets
-        codes = np.unique(np.concatenate(every), return_inverse=True)[1]
-        ends = np.cumsum([len(s) for s in every])
-        shift = 0 if same else len(a.ids)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -320,31 +327,23 @@ def _settled(families: DataFrame, classes: DataFrame, sets: DataFrame, partition
                 parent[x] = x = parent.get(parent[x], parent[x])
             return x
 
-        flags = np.zeros(len(codes), bool)
         for i, j in _near_pairs(a, b, same, least):
-            for k in np.unique(i):
-                others = j[i == k]
-                mine = codes[ends[k] - len(a.sets[k]) : ends[k]]
-                flags[mine] = True
-                for n in others:
-                    x, y = root(int(a.comps[k])), root(int(b.comps[n]))
-                    if x != y:
-                        theirs = codes[ends[n + shift] - len(b.sets[n]) : ends[n + shift]]
-                        shared = int(np.count_nonzero(flags[theirs]))
-                        if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
-                            parent[max(x, y)] = min(x, y)
-                            found.append((a.ids[k], b.ids[n]))
-                flags[mine] = False
+            for k, n in zip(i.tolist(), j.tolist()):
+                x, y = root(int(a.comps[k])), root(int(b.comps[n]))
+                if x != y and _linked(a.sets[k], b.sets[n], percent):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((a.ids[k], b.ids[n]))
         x = np.array(found, np.int64).reshape(-1, 2)
         return x[:, 0], x[:, 1]
 
-    tiles = families.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    rows = families.join(tiles, "family").join(classes.select("id", "marks"), "id").join(sets, "id")
+    sized = families.join(classes.select("id", "marks", "n"), "id")
+    tiles = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
+    rows = sized.drop("n").join(tiles, "family").join(sets, "id")
     return _tiled(rows, "family", ("marks", "set"), partitions, solve, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per row of ``docs``: id, twin (hash of the text), n, sum and xor of its set, component."""
     partitions = shuffle_partitions(docs.sparkSession)
     signed = cut(_signed(docs, id_col, text_col), "signatures")
     same = ["n", "sum", "xor"]
@@ -373,16 +372,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = components(links.toDF("u", "v"))
     # Every row follows its class, every class its component.
     known = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    rows = known_ids.join(known, same).select("id", "n", "component")
-    every = rows.unionByName(signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    rows = known_ids.join(known, same).select("id", "twin", *same, "component")
+    return rows.unionByName(signed.where("n = 0 or id is null").select("id", "twin", *same, F.col("id").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+    every = _grouped(docs, id_col, text_col, percent)
     return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the row of the smallest id; of rows that repeat an id, one."""
-    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    chosen = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    """``docs`` with one row of each group of near-duplicates: the row of the smallest id.
+
+    Where rows repeat that id, one of each different shingle set stays: a text that is not a copy is not lost.
+    """
+    kept = _grouped(docs, id_col, text_col, percent).where("id = component").groupBy("id", "n", "sum", "xor").agg(F.min("twin").alias("twin")).select("id", "twin")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), _twin(text_col).alias("twin"))
+    chosen = rows.where("id is not null").join(kept, ["id", "twin"], "left_semi").dropDuplicates(["id", "twin"])
+    every = chosen.unionByName(rows.where("id is null"))
+    return every.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
