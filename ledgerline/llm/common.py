@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Used only by a session on one machine (master ``local``) that names no checkpoint folder.
+LOCAL_SCRATCH = "ledgerline-scratch"
 #: Scratch tables that this process wrote.
 WRITTEN: list[str] = []
 
@@ -25,7 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or LOCAL_SCRATCH).rstrip("/")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (base or f"{tempfile.gettempdir()}/{LOCAL_SCRATCH}").rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +63,7 @@ def cached(key: str, make: Callable[[], Any], most: int = 3) -> Any:
     return found
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in smaller pieces, so few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
