@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,17 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False, quote_all: bool
 
 
 def write_kept_and_rejected(marked: DataFrame, reason: str, kept: str, rejected: str) -> None:
-    """One marked table to two sinks.  The marking is materialised once, under the second sink's partitions."""
-    marked.write.mode("overwrite").partitionBy(reason).parquet(rejected)
-    back = marked.sparkSession.read.parquet(rejected)
-    back.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(kept)
+    """One marked table to two sinks: rows without a reason, and the others in a folder per reason.
+
+    The marked rows are kept on the executors' disks in between, so the marking runs once; what a lost
+    executor held is made again.
+    """
+    rows = marked.persist(StorageLevel.DISK_ONLY)
+    try:
+        rows.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(kept)
+        rows.where(F.col(reason).isNotNull()).write.mode("overwrite").partitionBy(reason).parquet(rejected)
+    finally:
+        rows.unpersist()
 
 
 def write_audit(removed: DataFrame, path: str, by: str = "removed_by") -> None:
@@ -64,8 +72,10 @@ def markdown(title: str, rows: list[Mapping[str, object]]) -> str:
 
 
 def write_report(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A result that is small by nature as a markdown file."""
-    _text(df, path, markdown(title, [r.asDict() for r in df.limit(most).collect()]))
+    """A result that is small by nature as a markdown file; beyond ``most`` rows it says how many there are besides."""
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    more = f"\n{df.count() - most} more rows are not shown.\n" if len(rows) > most else ""
+    _text(df, path, markdown(title, rows[:most]) + more)
 
 
 def manifest(df: DataFrame, path: str, settings: Mapping[str, object]) -> dict:
