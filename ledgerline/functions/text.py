@@ -1,9 +1,13 @@
-"""Text functions.  All are built-in expressions: they stay in the JVM and inside code generation."""
+"""Text functions.  All but ``quote_support`` are built-in expressions: they stay in the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+import unicodedata
+from collections.abc import Iterator, Mapping, Sequence
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +35,84 @@ def normalize_doi(x: Text) -> Column:
     return F.when(~bare.isin("", "na", "null"), bare)
 
 
-#: Base letter -> letters that carry a mark; the letters of the Latin-1 and Latin Extended-A blocks.
-MARKED = {
-    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ",
-    "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
-}
+#: The Hangul syllables, which Unicode takes apart by arithmetic.
+HANGUL = (0xAC00, 0xD7A3)
+
+
+@cache
+def _unicode(form: str, marks: bool) -> tuple[str, str, dict[str, str]]:
+    """By a normal form of Unicode: characters that become one other, what they become, and those that become several.
+
+    Without ``marks`` combining characters go.  The tables are Python's own; Hangul syllables are left out.
+    """
+    one, to, gone, many = [], [], [], {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if HANGUL[0] <= ord(c) <= HANGUL[1] or 0xD800 <= ord(c) <= 0xDFFF:
+            continue
+        plain = unicodedata.normalize(form, c)
+        if not marks:
+            plain = "".join(x for x in plain if not unicodedata.combining(x))
+        if plain == c:
+            continue
+        if len(plain) > 1:
+            many[c] = plain
+        else:
+            (one if plain else gone).append(c)
+            to += plain
+    return "".join(one + gone), "".join(to), many
+
+
+def _swapped(x: Column, found: Column, values: dict[str, str]) -> Column:
+    """Every string of the array ``found`` replaced in the text by its value."""
+    table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in values.items())), F.lit("\u0001"), F.lit("\u0002"))
+    return F.aggregate(F.array_distinct(found), x, lambda text, c: F.replace(text, c, F.coalesce(F.try_element_at(table, c), c)))
+
+
+def _normal(x: Column, form: str, marks: bool = True) -> Column:
+    """The compatibility form of each character; texts in ASCII, which are most, pass as they are."""
+    one, to, many = _unicode(form, marks)
+    plain = F.translate(x, one, to)
+    plain = _swapped(plain, F.regexp_extract_all(plain, F.lit("[" + "".join(many) + "]"), F.lit(0)), many)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x)
+
+
+def _jamo(x: Column) -> Column:
+    """Hangul syllables as their two or three letters."""
+
+    def letters(c: Column) -> Column:
+        code = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - HANGUL[0]
+        sign = lambda n: F.decode(F.unhex(F.hex(n)), "UTF-16BE")
+        last = F.when(code % 28 > 0, sign((code % 28 + 0x11A7).cast("long"))).otherwise("")
+        return F.concat(sign((F.floor(code / 588) + 0x1100).cast("long")), sign((F.floor(code % 588 / 28) + 0x1161).cast("long")), last)
+
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("[\uac00-\ud7a3]"), F.lit(0)))
+    return F.when(x.rlike("[\uac00-\ud7a3]"), F.aggregate(found, x, lambda text, c: F.replace(text, c, letters(c)))).otherwise(x)
 
 
 def fold_accents(x: Text) -> Column:
-    """Letters without their marks (lower-case input), combining marks dropped."""
-    marked, plain = "".join(MARKED.values()), "".join(k * len(v) for k, v in MARKED.items())
-    return F.regexp_replace(F.translate(_c(x), marked, plain), r"\p{M}", "")
+    """The text in compatibility decomposition (NFKD), combining marks dropped."""
+    return _jamo(_normal(_c(x), "NFKD", marks=False))
+
+
+def compatible(x: Text) -> Column:
+    """The text in compatibility composition (NFKC): each character's form, then letters joined with up to two marks after them."""
+    plain = _normal(_c(x), "NFKC")
+    pairs = _pairs()
+    for _ in range(2):
+        plain = F.when(plain.rlike(r"\p{M}"), _swapped(plain, F.regexp_extract_all(plain, F.lit(r"\P{M}\p{M}"), F.lit(0)), pairs)).otherwise(plain)
+    return plain
+
+
+@cache
+def _pairs() -> dict[str, str]:
+    """Letter and mark -> the one character they compose to."""
+    out = {}
+    for c in map(chr, range(128, 0x3100)):
+        apart = unicodedata.normalize("NFD", c)
+        two = unicodedata.normalize("NFC", apart[:-1]) + apart[-1]
+        if len(two) == 2 and unicodedata.normalize("NFC", two) == c:
+            out[two] = c
+    return out
 
 
 def normalize_key(x: Text, na_tokens: Sequence[str] = ()) -> Column:
@@ -157,49 +228,128 @@ def alnum_key(x: Text) -> Column:
     return F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]", "")
 
 
-def name_key(x: Text, words: int = 2, drop: Sequence[str] = ("sp", "spp", "cf", "aff")) -> Column:
-    """The first words of a name in lower case, without open-nomenclature marks and tokens that hold digits."""
-    tokens = F.split(squish(F.regexp_replace(F.lower(_c(x)), r"[^\p{L}\p{N} ]", " ")), " ")
-    good = F.filter(tokens, lambda t: (t != "") & ~t.isin(*drop) & ~t.rlike(r"\d"))
-    return F.array_join(F.slice(good, F.lit(1), F.lit(words)), " ")
+#: Codes of strains and collections, open-nomenclature words, and letters of names, as name keys must read them.
+STRAIN_CODE = r"\b(?:[A-Z]{2,6}[- ]?\d[\w.\-]*|\d+[A-Z]+[\w\-]*|CBS\s*\d+[\d.]*|ATCC\s*\d+)\b"
+OPEN_NAMES = r"(?i)\b(?:cf|aff|sensu lato|s\.l|nom\.?|nov|comb)\b\.?"
+NAME_LETTERS = r"[A-Za-z\u00c0-\u024f\-]+"
+
+
+def name_key(x: Text) -> Column:
+    """The first two words of a name in lower case, without brackets, open-nomenclature words and strain codes; ``spp`` counts as ``sp``."""
+    bare = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\(.*?\)", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, OPEN_NAMES, " "), STRAIN_CODE, " ")
+    words = F.slice(F.transform(F.regexp_extract_all(bare, F.lit(NAME_LETTERS), F.lit(0)), F.lower), F.lit(1), F.lit(2))
+    return F.regexp_replace(F.array_join(words, " "), " spp$", " sp")
+
+
+def plain_key(x: Text) -> Column:
+    """Lower-case letters, digits and spaces only; blank and null as an empty string."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), "[^a-z0-9 ]", ""))
+
+
+def genus_key(x: Text) -> Column:
+    """The first word of the plain key."""
+    return F.substring_index(plain_key(x), " ", 1)
+
+
+def species_key(x: Text, drop: Sequence[str] = ("sp", "spp", "cf", "aff")) -> Column:
+    """The first two words of the plain key but for open-nomenclature marks."""
+    return F.array_join(F.slice(F.filter(F.split(plain_key(x), " "), lambda w: ~w.isin(*drop)), F.lit(1), F.lit(2)), " ")
+
+
+def host_key(x: Text) -> Column:
+    """Lower-case letters and spaces only; null as an empty string."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), "[^a-z ]", ""))
 
 
 def quote_text(x: Text) -> Column:
-    """Text for quote checks: ligatures, curly quotes, dashes and markdown plain, hyphenation undone, lower case, squished."""
-    plain = F.translate(_c(x), "“”„‘’‚–—−*_`#", "\"\"\"'''---")
-    for ligature, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return F.lower(squish(F.regexp_replace(plain, r"(\w)-\s*\n\s*(\w)", "$1$2")))
+    """Text for quote checks: compatibility form, curly quotes and dashes plain, hyphenation undone, markdown and table signs as spaces, lower case, squished."""
+    plain = F.translate(compatible(F.coalesce(_c(x), F.lit(""))), "“”‘’–—−\u00a0\u00ad", "\"\"''--- ")
+    plain = F.regexp_replace(F.lower(plain), r"-\s*\n\s*", "")
+    return squish(F.regexp_replace(plain, r"[*_`#>|]", " "))
+
+
+def shared_length(masks: Mapping[str, int], size: int, window: str) -> int:
+    """Length of the longest common subsequence, by one addition of whole words per character of ``window``."""
+    full = (1 << size) - 1
+    row = full
+    for c in window:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
+def aligned(quote: str, text: str, at_least: float) -> bool:
+    """Whether some stretch of the longer text is like the shorter one: 2 * common / (both lengths) of ``at_least`` or more.
+
+    Stretches are as long as the shorter text, or what is left of that at either end.  A stretch so alike
+    keeps one of several pieces of the quote unchanged, so only stretches around such pieces are compared.
+    """
+    short, long = (quote, text) if len(quote) <= len(text) else (text, quote)
+    n = len(short)
+    if not n:
+        return False
+    lost = int(n * (1 - at_least / (2 - at_least))) + 1
+    size = max(1, n // (lost + 1))
+    masks: dict[str, int] = {}
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+    seen = set()
+    for at in range(0, n - size + 1, size):
+        piece, found = short[at : at + size], -1
+        while (found := long.find(piece, found + 1)) >= 0:
+            for start in range(found - at - lost, found - at + lost + 1):
+                if start not in seen and start + n > 0 and start < len(long):
+                    seen.add(start)
+                    window = long[max(start, 0) : start + n]
+                    if 2 * shared_length(masks, n, window) >= at_least * (n + len(window)) - 1e-9:
+                        return True
+    return False
 
 
 def quote_support(quote: Text, text: Text, at_least: float = 0.92, shortest: int = 25) -> Column:
     """'exact', 'fuzzy', 'none' or 'empty'.
 
-    Fuzzy compares the quote with the stretch of the text that starts where the quote's first word does,
-    by edit distance; quotes under ``shortest`` characters must be exact.
+    Fuzzy is the best alignment of the quote anywhere in the text (see ``aligned``); quotes under
+    ``shortest`` characters must be exact.  Both sides are normalised in the JVM; the alignment, which no
+    built-in function expresses, gets only pairs that are not exact, by Arrow batches.
     """
-    q, t = quote_text(F.coalesce(_c(quote), F.lit(""))), quote_text(F.coalesce(_c(text), F.lit("")))
-    at = F.instr(t, F.substring_index(q, " ", 2))
-    near = F.substr(t, at, F.length(q))
-    ratio = 1 - F.levenshtein(q, near) / F.greatest(F.length(q), F.lit(1))
-    return F.when(q == "", "empty").when(F.contains(t, q), "exact").when((F.length(q) >= shortest) & (at > 0) & (ratio >= at_least), "fuzzy").otherwise("none")
+    q, t = quote_text(quote), quote_text(text)
+    exact, open_ = F.contains(t, q), F.length(q) >= shortest
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for quotes, texts in batches:
+            yield pd.Series([a is not None and aligned(a, b, at_least) for a, b in zip(quotes, texts)], dtype=bool)
+
+    some = open_ & ~exact
+    fuzzy = near(F.when(some, q), F.when(some, t))
+    return F.when(q == "", "empty").when(exact, "exact").when(open_ & fuzzy, "fuzzy").otherwise("none")
+
+
+#: How coordinates are written - degrees, and minutes and seconds if given, with a hemisphere; or two decimals.
+ANGLE = r"{digits}(?:[.,]\d+)?\s*[°º]\s*(?:\d{{1,2}}(?:[.,]\d+)?\s*['′]\s*)?(?:\d{{1,2}}(?:[.,]\d+)?\s*(?:\"|″|'')\s*)?{ends}"
+LATITUDE, LONGITUDE = ANGLE.format(digits=r"\d{1,2}", ends="[NS]"), ANGLE.format(digits=r"\d{1,3}", ends="[EW]")
+DECIMALS = r"(?<![\d.])(-?\d{1,2}\.\d{3,})\s*[,;/ ]\s*(-?\d{1,3}\.\d{3,})(?![\d.])"
 
 
 def coordinates(x: Text) -> Column:
-    """array<struct<text, lat, lon>>: decimal and degree-minute-second pairs within range."""
-    half = r"(\d{1,3})\s*°\s*(?:(\d{1,2})\s*[′']\s*)?(?:(\d{1,2}(?:\.\d+)?)\s*[″\"]\s*)?"
-    dms = rf"{half}([NS])[,;\s]+{half}([EW])"
-    decimal = r"(-?\d{1,2}\.\d{3,})\s*[,;]\s*(-?\d{1,3}\.\d{3,})"
-    number = lambda m, pattern, g: F.coalesce(F.regexp_extract(m, pattern, g).try_cast("double"), F.lit(0.0))
+    """array<struct<text, lat, lon>>: pairs of degrees with hemispheres (five decimals), then decimal pairs; only those within range."""
+    pair = rf"({LATITUDE})[\s,;/]+({LONGITUDE})"
 
-    def angle(m: Column, g: int, negative: str) -> Column:
-        value = number(m, dms, g) + number(m, dms, g + 1) / 60 + number(m, dms, g + 2) / 3600
-        return F.when(F.regexp_extract(m, dms, g + 3) == negative, -value).otherwise(value)
+    def angle(m: Column, group: int) -> Column:
+        """Degrees, minutes and seconds in the order written; south and west are negative."""
+        part = F.regexp_extract(m, pair, group)
+        numbers = F.transform(F.regexp_extract_all(part, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(".")).cast("double"))
+        size = lambda i: F.coalesce(F.get(numbers, F.lit(i)), F.lit(0.0)) / 60**i
+        value = size(0) + size(1) + size(2)
+        return F.round(F.when(part.rlike("[SW]$"), -value).otherwise(value), 5)
 
     text = F.coalesce(_c(x), F.lit(""))
+    decimal = lambda m, g: F.regexp_extract(m, DECIMALS, g).cast("double")
     found = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(dms), F.lit(0)), lambda m: F.struct(m.alias("text"), angle(m, 1, "S").alias("lat"), angle(m, 5, "W").alias("lon"))),
-        F.transform(F.regexp_extract_all(text, F.lit(decimal), F.lit(0)), lambda m: F.struct(m.alias("text"), number(m, decimal, 1).alias("lat"), number(m, decimal, 2).alias("lon"))),
+        F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), lambda m: F.struct(m.alias("text"), angle(m, 1).alias("lat"), angle(m, 2).alias("lon"))),
+        F.transform(F.regexp_extract_all(text, F.lit(DECIMALS), F.lit(0)), lambda m: F.struct(m.alias("text"), decimal(m, 1).alias("lat"), decimal(m, 2).alias("lon"))),
     )
     return F.filter(found, lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
 
@@ -222,9 +372,11 @@ def _among(words: Column, wanted: Sequence[str]) -> Column:
     return F.filter(words, lambda w: w.isin(*wanted))
 
 
-def capitalised_pairs(x: Text) -> Column:
-    """Candidate two-word names: a capitalised word and a lower-case one."""
-    return F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r"\b([A-Z][a-z]{2,} [a-z]{3,})\b"), F.lit(1))
+def candidate_names(x: Text, genera: Sequence[str] | None = None) -> Column:
+    """Candidate two-word names, each as often as it stands: a capitalised word of four letters or more and a lower-case one; of known genera only, if given."""
+    pairs = F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r"\b[A-Z][a-z]{3,}\s+[a-z]{4,}\b"), F.lit(0))
+    names = F.transform(pairs, lambda p: F.regexp_replace(p, r"\s+", " "))
+    return names if genera is None else F.filter(names, lambda n: F.substring_index(n, " ", 1).isin(*genera))
 
 
 def sentences(x: Text) -> Column:
@@ -246,6 +398,51 @@ def recode(x: Text, mapping: Mapping[str, str], default: Text | None = None) ->
     return rest if chain is None else chain.otherwise(rest)
 
 
+def blank(x: Text) -> Column:
+    """True for null, white space and the word ``nan``."""
+    return F.coalesce(F.trim(_c(x)).isin("", "nan"), F.lit(True))
+
+
+def typed_value(x: Text, mapping: Mapping[str, str], prefixes: Mapping[str, str] | None = None) -> Column:
+    """One answer as its token: the mapping of known labels, else the token of the first prefix it begins with, else as it is; null for blank ones.
+
+    ``prefixes``: beginnings in lower case of values typed over a list of choices, such as ``other``.
+    """
+    value = F.trim(_c(x))
+    chain = F.when(blank(x), F.lit(None).cast("string"))
+    for label, token in mapping.items():
+        chain = chain.when(value == label, token)
+    for start, token in (prefixes or {}).items():
+        chain = chain.when(F.lower(value).startswith(start), token)
+    return chain.otherwise(value)
+
+
+def typed_values(x: Text, mapping: Mapping[str, str], prefixes: Mapping[str, str] | None = None) -> Column:
+    """Several answers in a cell, by comma or semicolon, as sorted distinct tokens; a known label that holds a comma stays one."""
+    value = F.trim(_c(x))
+    parts = F.filter(F.transform(F.split(value, r"\s*[;,]\s*"), F.trim), lambda p: p != "")
+    several = F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, lambda p: typed_value(p, mapping, prefixes)))))
+    none = F.array().cast("array<string>")
+    return F.when(blank(x), none).when(value.isin(*mapping) if mapping else F.lit(False), F.array(recode(value, mapping))).otherwise(several)
+
+
+def place_set(x: Text, aliases: Mapping[str, str], missing: Sequence[str] = ("not stated", "unclear", "none", "na")) -> Column:
+    """Places of a cell, by semicolon or bar, as sorted distinct plain keys under their usual names; without words for missing ones."""
+    keys = F.transform(F.split(F.when(blank(x), "").otherwise(_c(x)), r"\s*[;|]\s*"), lambda p: recode(plain_key(p), aliases))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: ~k.isin("", *missing))))
+
+
+def place_token(x: Text, aliases: Mapping[str, str], missing: str = "not stated") -> Column:
+    """The places of a cell as one label; ``missing`` where it names none, null where it is blank."""
+    places = place_set(x, aliases)
+    return F.when(~blank(x), F.when(F.size(places) > 0, F.array_join(places, "; ")).otherwise(missing))
+
+
+def stated(x: Text, negative: Sequence[str] = ("no", "none", "not stated", "na", "n a", "not given", "not reported")) -> Column:
+    """Whether a free-text answer gives something: ``yes``, ``no`` for words that deny it, null where it is blank."""
+    return F.when(~blank(x), F.when(plain_key(x).isin(*negative), "no").otherwise("yes"))
+
+
 def html_text(x: Text) -> Column:
     """The visible text of a page: scripts, styles, comments and tags gone, common entities read, squished."""
     bare = F.regexp_replace(_c(x), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
@@ -260,6 +457,18 @@ def salvage_json(x: Text, schema: str) -> Column:
     return F.from_json(F.regexp_extract(F.coalesce(_c(x), F.lit("")), r"(?s)\{.*\}", 0), schema)
 
 
-def json_urls(x: Text) -> Column:
-    """All distinct http urls among the string values of any JSON text, however nested."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r'"(https?://[^"\\]+)"'), F.lit(1)))
+def json_urls(x: Text, deepest: int = 12) -> Column:
+    """All distinct strings that begin with http among the values (not the keys) of any JSON text, down to ``deepest`` levels.
+
+    The text is parsed, so escaped slashes read as slashes.  A level is taken apart as a list or else as an
+    object; text that is no JSON has none.
+    """
+    level = F.array(F.try_parse_json(F.coalesce(_c(x), F.lit(""))))
+    found = F.array().cast("array<string>")
+    for depth in range(deepest):
+        strings = F.filter(F.transform(level, lambda v: F.try_variant_get(v, "$", "string")), lambda v: v.startswith("http"))
+        found = F.concat(found, strings)
+        if depth + 1 < deepest:
+            inside = F.transform(level, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>")))
+            level = F.flatten(inside)
+    return F.array_distinct(found)
