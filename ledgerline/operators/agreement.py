@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import ratio
+from ledgerline.operators.joins import small
 
 
 def prf(truth: DataFrame, found: DataFrame, key: Sequence[str], by: Sequence[str] = (), partial: DataFrame | None = None) -> DataFrame:
@@ -22,7 +23,7 @@ def prf(truth: DataFrame, found: DataFrame, key: Sequence[str], by: Sequence[str
     counts_fp = F.lit(True)
     if partial is not None:
         on = [c for c in partial.columns if c in (*by, *key)]
-        both = both.join(F.broadcast(partial.select(*on).distinct().withColumn("_p", F.lit(1))), on, "left")
+        both = both.join(small(partial.select(*on).distinct().withColumn("_p", F.lit(1))), on, "left")
         counts_fp = F.col("_p").isNull()
     out = both.groupBy(*by).agg(F.count_if(F.col("_t").isNotNull() & F.col("_f").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull() & counts_fp).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
     out = out.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"))).withColumn("recall", ratio("tp", F.col("tp") + F.col("fn")))

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts in which the rows of one key are ranked.
+SALTS = 256
+
 
 def numbered(df: DataFrame, key: Sequence[Column | str], order: Sequence[Column | str], name: str = "_rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -41,6 +44,10 @@ class DedupPipeline:
     ``run`` returns what is kept, what was removed with its stage, and the ledger (stage, rows_in,
     rows_out, removed, note).  Each stage adds one marking column to the rows it saw, so the three results
     share one plan; the ledger is one aggregation over the marks.
+
+    A key that very many rows share is ranked in SALTS parts first; the firsts of the parts are then ranked
+    among themselves, and rows that lost within their part stay spread.  Rows travel as they are given: give
+    lengths and hashes rather than texts.
     """
 
     stages: Sequence[Stage]
@@ -54,11 +61,13 @@ class DedupPipeline:
             if stage.key is not None:
                 out = out.withColumn("_key", F.when(alive, stage.key))
                 # Rows without a key are spread by a salt of their own, so they make no hot group.
-                salt = F.when(F.col("_key").isNull(), F.xxhash64(*(c if isinstance(c, Column) else F.col(c) for c in df.columns)))
-                rank = F.row_number().over(Window.partitionBy("_key", salt).orderBy(*self.order))
-                out = out.withColumn("_rank", rank)
-                lost = alive & F.col("_key").isNotNull() & (F.col("_rank") > 1)
-                out = out.withColumn("removed_by", F.when(lost, stage.name).otherwise(F.col("removed_by"))).drop("_key", "_rank")
+                own = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+                out = out.withColumn("_salt", F.when(F.col("_key").isNull(), own).otherwise(F.pmod(own, F.lit(SALTS))))
+                rank = lambda salt: F.row_number().over(Window.partitionBy("_key", salt).orderBy(*self.order))
+                out = out.withColumn("_part", rank(F.col("_salt")))
+                out = out.withColumn("_rank", rank(F.when((F.col("_part") > 1) | F.col("_key").isNull(), F.col("_salt"))))
+                lost = alive & F.col("_key").isNotNull() & ((F.col("_part") > 1) | (F.col("_rank") > 1))
+                out = out.withColumn("removed_by", F.when(lost, stage.name).otherwise(F.col("removed_by"))).drop("_key", "_salt", "_part", "_rank")
             else:
                 out = out.withColumn("removed_by", F.when(alive & ~F.coalesce(stage.keep, F.lit(False)), stage.name).otherwise(F.col("removed_by")))
         return out

@@ -86,36 +86,37 @@ def overlap(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     return both.agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("both"), F.count_if(F.col("_l").isNull()).alias("only_right"))
 
 
-def complete(df: DataFrame, dims: Sequence[str], fill: dict[str, object], most: int = 10_000_000) -> DataFrame:
+def complete(df: DataFrame, dims: Sequence[str], fill: dict[str, object]) -> DataFrame:
     """Every combination of the dimensions' distinct values, with ``fill`` where there was no row.
 
-    The grid is the point of the operator; it is refused beyond ``most`` combinations.
+    The grid is the point of the operator, and its size the product of the dimensions'.  Values are few by
+    nature; a dimension is broadcast only where its estimated size is small.
     """
-    counts = df.agg(*(F.approx_count_distinct(d).alias(d) for d in dims)).first()
-    size = 1
-    for d in dims:
-        size *= max(counts[d], 1)
-    if size > most:
-        raise ValueError(f"the grid would have about {size} rows")
     grid = None
     for d in dims:
         values = df.select(d).where(F.col(d).isNotNull()).distinct()
-        grid = values if grid is None else grid.join(F.broadcast(values), how="cross")
+        grid = values if grid is None else grid.join(small(values), how="cross")
     return grid.join(df, list(dims), "left").fillna(fill)
 
 
 def pairs_within(df: DataFrame, group: str, item: str, most: int = 200) -> DataFrame:
     """(a, b, n): how many groups hold both items, a < b.
 
-    Items of a group are made distinct and gathered in an array by the grouped aggregation, so pairs grow
-    with the number of distinct items of one group, not with its rows; groups of more than ``most``
-    distinct items are refused rather than cut.
+    Distinct items of a group are dealt into tiles of about ``most``, one for a small group, and each pair of
+    tiles of a group is a row of its own; so a large group is neither refused nor gathered in one place, and
+    an array holds two tiles at most.
     """
-    sets = df.where(F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    checked = sets.withColumn("items", F.when(F.size("items") <= most, F.col("items")).otherwise(F.raise_error(F.lit(f"a group has more than {most} items"))))
-    first = checked.select("items", F.posexplode("items").alias("i", "a"))
-    both = first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"))
+    items = df.where(F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
+    tiles = items.groupBy("g").agg(F.ceil(F.count("*") / most).alias("tiles"))
+    dealt = items.join(tiles, "g").withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    cells = cells.select("g", "x", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    side = lambda which: F.collect_list(F.when(F.col("tile") == F.col(which), F.col("x"))).alias(f"in_{which}")
+    met = cells.groupBy("g", "low", "high").agg(side("low"), side("high"))
+    first = met.select("low", "high", "in_high", F.explode("in_low").alias("a"))
+    within = F.col("low") == F.col("high")
+    both = first.select("a", F.explode(F.filter("in_high", lambda x: ~within | (x > F.col("a")))).alias("b"))
+    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
 
 
 def first_existing(df: DataFrame, key: str, candidates: Sequence[Column], listing: DataFrame, name: str) -> DataFrame:

@@ -61,28 +61,36 @@ def resolve_names(tokens: DataFrame, token: str, group: str, accepted: DataFrame
 
     accepted: (key, id, name); synonyms: (key, id) of the accepted name.  Order of methods: empty, alias,
     accepted (1.0), synonym (0.95), abbreviation ``x. epithet`` (0.75; 0.55 where several names fit and the
-    group's other genera don't settle it), no match (0).  Distinct (group, token) pairs are resolved once
-    and joined back; abbreviations are an equi-join on (initial, epithet).
+    group's other genera don't settle it), no match (0; null tokens too).  Distinct tokens are resolved once
+    and joined back; only abbreviations look at the group, by an equi-join on (initial, epithet) and genus.
     """
     key = T.canonical_binomial(token)
     if aliases:
         key = T.recode(F.lower(T.squish(token)), aliases, key)
-    distinct = tokens.select(group, token).distinct().withColumn("key", key).withColumn("_alias", F.lower(T.squish(token)).isin(*aliases) if aliases else F.lit(False))
+    # Each distinct token once, whatever its group.
+    known = F.lower(T.squish(token)).isin(*aliases) if aliases else F.lit(False)
+    distinct = tokens.select(token).where(F.col(token).isNotNull()).distinct().select(token, key.alias("key"), known.alias("_alias"))
     exact = accepted.select("key", F.col("id").alias("_aid"), F.col("name").alias("_aname"))
     syn = unique_by(synonyms.select("key", F.col("id").alias("_sid")), ["key"]).join(small(accepted.select(F.col("id").alias("_sid"), F.col("name").alias("_sname"))), "_sid")
     out = distinct.join(small(exact), "key", "left").join(small(syn), "key", "left")
+    # Abbreviations: the names that fit, and of these the ones whose genus the group has too.
     parts = lambda c: (F.substr(c, F.lit(1), F.lit(1)).alias("_i"), F.regexp_extract(c, r"^\S+ (\S+)", 1).alias("_e"))
-    index = accepted.where(F.col("key").rlike(r"^\S{2,} \S+")).select(*parts(F.col("key")), F.col("id").alias("_cid"), F.col("name").alias("_cname"), F.regexp_extract("key", r"^\S+", 0).alias("_genus"))
-    short = out.where(F.col("_aid").isNull() & F.col("_sid").isNull() & F.col("key").rlike(r"^\p{L}\. \S+")).select(group, token, *parts(F.col("key")))
-    genera = distinct.where(F.col("key").rlike(r"^\p{L}{2,}")).select(group, F.regexp_extract("key", r"^\S+", 0).alias("_genus")).distinct().withColumn("_near", F.lit(1))
-    fits = short.join(index, ["_i", "_e"]).join(genera, [group, "_genus"], "left")
-    best = fits.groupBy(group, token).agg(F.count("*").alias("_n"), F.count("_near").alias("_m"), F.min_by(F.struct("_cid", "_cname"), F.struct(F.col("_near").isNull(), "_cid")).alias("_best"))
-    out = out.join(best, [group, token], "left")
-    sure = (F.col("_n") == 1) | (F.col("_m") == 1)
-    method = F.when(F.col("key") == "", "empty").when(F.col("_aid").isNotNull(), F.when(F.col("_alias"), "alias").otherwise("accepted")).when(F.col("_sid").isNotNull(), "synonym").when(F.col("_n").isNotNull(), "abbreviation").otherwise("no_match")
+    index = accepted.where(F.col("key").rlike(r"^\S{2,} \S+")).select(*parts(F.col("key")), F.struct(F.col("id").alias("id"), F.col("name").alias("name")).alias("_name"), F.regexp_extract("key", r"^\S+", 0).alias("_genus"))
+    short = out.where(F.col("_aid").isNull() & F.col("_sid").isNull() & F.col("key").rlike(r"^\p{L}\. \S+")).select(token, *parts(F.col("key")))
+    fits = short.join(small(index), ["_i", "_e"]).select(token, "_name", "_genus")
+    best = fits.groupBy(token).agg(F.count("*").alias("_n"), F.min_by("_name", "_name.id").alias("_best"))
+    full = distinct.where(F.col("key").rlike(r"^\p{L}{2,}")).select(token, F.regexp_extract("key", r"^\S+", 0).alias("_genus")).join(small(fits.select("_genus").distinct()), "_genus", "left_semi")
+    genera = tokens.select(group, token).join(small(full), token).select(group, "_genus").distinct()
+    asked = tokens.select(group, token).join(small(fits), token).distinct()
+    near = asked.join(genera, [group, "_genus"]).groupBy(group, token).agg(F.count("*").alias("_m"), F.min_by("_name", "_name.id").alias("_near"))
+    out = out.withColumnRenamed("key", "_key")
+    result = tokens.join(small(out), token, "left").join(small(best), token, "left").join(small(near), [group, token], "left")
+    sure = (F.col("_n") == 1) | F.coalesce(F.col("_m") == 1, F.lit(False))
+    method = F.when(F.col("_key") == "", "empty").when(F.col("_aid").isNotNull(), F.when(F.col("_alias"), "alias").otherwise("accepted")).when(F.col("_sid").isNotNull(), "synonym").when(F.col("_n").isNotNull(), "abbreviation").otherwise("no_match")
     confidence = F.when(F.col("_aid").isNotNull(), 1.0).when(F.col("_sid").isNotNull(), 0.95).when(sure, 0.75).when(F.col("_n").isNotNull(), 0.55).otherwise(0.0)
-    result = out.select(group, token, F.coalesce("_aid", "_sid", "_best._cid").alias("resolved_id"), F.coalesce("_aname", "_sname", "_best._cname").alias("resolved_name"), method.alias("method"), confidence.alias("confidence"), F.coalesce(~sure & F.col("_n").isNotNull(), F.lit(False)).alias("is_ambiguous"), F.coalesce("_n", F.lit(0)).alias("candidates"))
-    return tokens.join(result, [group, token], "left")
+    chosen = F.coalesce("_near", "_best")
+    found = [F.coalesce("_aid", "_sid", chosen["id"]).alias("resolved_id"), F.coalesce("_aname", "_sname", chosen["name"]).alias("resolved_name"), method.alias("method"), confidence.alias("confidence")]
+    return result.select(*tokens.columns, *found, F.coalesce(~sure & F.col("_n").isNotNull(), F.lit(False)).alias("is_ambiguous"), F.coalesce("_n", F.lit(0)).alias("candidates"))
 
 
 def review_queue(resolved: DataFrame) -> DataFrame:
@@ -90,31 +98,46 @@ def review_queue(resolved: DataFrame) -> DataFrame:
     return resolved.where("method = 'no_match' or is_ambiguous")
 
 
-def ngrams(words: Column, sizes: Sequence[int]) -> Column:
-    """All runs of as many words as ``sizes`` says."""
+def ngrams(words: Column, sizes: Sequence[int], firsts: Sequence[str] | None = None) -> Column:
+    """All runs of as many words as ``sizes`` says; only those that begin with one of ``firsts``, if given."""
     n = F.size(words)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), _run(words, k))).otherwise(F.array().cast("array<string>")) for k in sizes]
+    if firsts is None:
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    else:
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*firsts), i + 1)), lambda i: i.isNotNull())
+    runs = [F.transform(F.filter(starts, _fits(n, k)), _run(words, k)) for k in sizes]
     return F.concat(F.array().cast("array<string>"), *runs)
 
 
+def _fits(n: Column, k: int):
+    return lambda i: i <= n - k + 1
+
+
 def _run(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")
 
 
+#: First words of terms that travel as literals; with more of them every run of words is joined.
+FIRST_WORDS = 5_000
+
+
 def dictionary_match(df: DataFrame, key: str, texts: Sequence[str], dictionary: DataFrame, most_words: int | None = None, shortest: int = 3) -> DataFrame:
     """(key, term, value): dictionary terms found as whole words in the texts.
 
     Runs of words are matched by an equi-join, so the cost does not grow with the dictionary as a scan per
     term would; each row's distinct runs only, of the lengths that the dictionary holds (``most_words`` leaves
-    out longer terms).
+    out longer terms), and only those that begin as some term does, where the first words of terms are few.
     """
     words = F.concat(*(T.tokens(c) for c in texts)) if len(texts) == 1 else F.flatten(F.array(*(F.concat(T.tokens(c), F.array(F.lit("|"))) for c in texts)))
     terms = unique_by(dictionary.select(F.lower("term").alias("term"), "value"), ["term"]).where(F.length("term") >= shortest)
-    sizes = sorted(r[0] for r in dictionary.where("term is not null").select(F.size(F.split("term", " "))).distinct().collect())
+    shape = terms.select(F.size(F.split("term", " ")).alias("size"), F.substring_index("term", " ", 1).alias("first"))
+    sizes = sorted(r[0] for r in shape.select("size").distinct().collect())
     sizes = [k for k in sizes if most_words is None or k <= most_words]
+    firsts = [r[0] for r in shape.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
     # The words are a column of their own, so they are split once and not for every run.
-    runs = df.select(key, words.alias("_words")).select(key, F.explode(F.array_distinct(ngrams(F.col("_words"), sizes))).alias("term"))
-    return runs.join(small(terms), "term").select(key, "term", "value").distinct()
+    runs = ngrams(F.col("_words"), sizes, firsts if len(firsts) <= FIRST_WORDS else None)
+    each = df.select(key, words.alias("_words")).select(key, F.explode(F.array_distinct(runs)).alias("term"))
+    return each.join(small(terms), "term").select(key, "term", "value").distinct()
 
 
 def profile_columns(columns: Sequence[str], profiles: Mapping[str, Mapping[str, str]]) -> tuple[str, dict[str, str]]:

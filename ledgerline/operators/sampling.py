@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.joins import small
+
 
 def shuffled(key: str, seed: str = "") -> Column:
     """An order like a random one, the same in every run and engine."""
@@ -54,7 +56,7 @@ def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], key: str, se
     largest = max(allocate(counts, n, floor).values(), default=0)
     rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(shuffled(key, seed), key))
     ranked = df.withColumn("_stratum", name).withColumn("_rank", rank).where(F.col("_rank") <= largest)
-    return ranked.join(F.broadcast(quotas), "_stratum").where("_rank <= _quota").drop("_stratum", "_rank", "_quota")
+    return ranked.join(small(quotas), "_stratum").where("_rank <= _quota").drop("_stratum", "_rank", "_quota")
 
 
 def quota_draw(pool: Sequence[dict], n: int, quotas: Mapping[str, Mapping[str, int]], key: str) -> list[dict]:

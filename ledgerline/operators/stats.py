@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.joins import small
+
 
 def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1, ties averaged.  Values are counted first, so the ranking window sees each distinct value once."""
@@ -54,7 +56,7 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = False) -> DataFrame:
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     rows, columns = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("cb"))
     total = cells.agg(F.sum("o").alias("n"))
-    grid = rows.join(F.broadcast(columns), how="cross").join(cells, [a, b], "left").join(F.broadcast(total), how="cross")
+    grid = rows.join(small(columns), how="cross").join(cells, [a, b], "left").join(F.broadcast(total), how="cross")
     expected = F.col("ra") * F.col("cb") / F.col("n")
     off = F.abs(F.coalesce("o", F.lit(0)) - expected) - (F.least(F.lit(0.5), F.abs(F.coalesce("o", F.lit(0)) - expected)) if yates else F.lit(0.0))
     return grid.agg(F.sum(off * off / expected).alias("statistic"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"), F.max("n").alias("n"))

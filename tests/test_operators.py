@@ -63,6 +63,9 @@ def test_complete_and_pairs(spark):
     assert sorted((r["x"], r["y"], r["n"]) for r in joins.complete(df, ["x", "y"], {"n": 0}).collect()) == [("a", 1, 5), ("a", 2, 0), ("b", 1, 0), ("b", 2, 7)]
     sets = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b"), (2, "a"), (3, None)], "g int, i string")
     assert [tuple(r) for r in joins.pairs_within(sets, "g", "i").collect()] == [("a", "b", 2)]
+    large = spark.range(40).select(F.lit(1).alias("g"), "id").union(spark.range(0, 40, 3).select(F.lit(2), "id"))
+    got = {(r["a"], r["b"]): r["n"] for r in joins.pairs_within(large, "g", "id", most=6).collect()}
+    assert got == {(a, b): 1 + (a % 3 == 0 and b % 3 == 0) for b in range(40) for a in range(b)}
 
 
 def test_quartiles_differ_as_they_should(spark):
@@ -102,8 +105,11 @@ def test_records_and_claims(spark):
     out = extract.records(df, "t", r"\n\n(?=\d+\.\s)", {"title": r"Title: (\w+)"})
     assert [r["title"] for r in out.orderBy("record_no").collect()] == ["x", "y"]
     texts = spark.createDataFrame([(1, "All plants have fungi. Maybe most."), (2, None)], "id long, t string")
-    got = extract.claims(texts, "id", "t", extract.keyword_model(["all"], ["maybe"]), "key long, is_claim boolean, confidence double, evidence array<string>").orderBy("key").collect()
+    model = lambda rows: ({"key": k, "is_claim": "all" in t.lower()} for k, t in rows)
+    got = extract.claims(texts, "id", "t", model, "key long, is_claim boolean").orderBy("key").collect()
     assert [(r["key"], r["is_claim"]) for r in got] == [(1, True), (2, False)]
+    got = extract.keyword_claims(texts, "id", "t", ["all", "most"], ["maybe"]).orderBy("key").collect()
+    assert [(r["key"], r["is_claim"], r["found"], r["hedged"], r["confidence"], r["evidence"]) for r in got] == [(1, True, 2, 1, 0.75, ["All plants have fungi", "Maybe most."]), (2, False, 0, 0, 0.0, [])]
 
 
 def test_profiles():
@@ -135,3 +141,51 @@ def test_quota_draw_looks_at_every_document(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["quota_draw"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert {x: sum(r[1] == x for r in got) for x in quotas["lang"]} == quotas["lang"]
+
+
+def test_many_rows_of_one_key(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SALTS", 4)
+    rows = spark.range(500).select("id", F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    pipeline = dedup.DedupPipeline([dedup.Stage("key", key=F.col("k")), dedup.Stage("tens", key=F.floor(F.col("id") / 10))], [F.desc("id")])
+    kept, removed, ledger = pipeline.run(rows)
+    first = {499} | {i for i in range(0, 500, 5)}
+    best = {}
+    for i in first:
+        best[i // 10] = max(best.get(i // 10, -1), i)
+    assert sorted(r["id"] for r in kept.collect()) == sorted(best.values())
+    assert [(r["rows_in"], r["rows_out"]) for r in ledger.orderBy("step").collect()] == [(500, 101), (101, 50)]
+
+
+def test_snippets_by_plain_loops(spark):
+    import random
+    import re
+
+    r = random.Random(2)
+    texts = ["".join(r.choice(["key", "word ", "x", "zz ", "é"]) for _ in range(r.randint(0, 120))) for _ in range(60)] + [None, "", "key" * 400]
+    got = {(x["i"], x["place"]): (x["start"], x["end"], x["snippet"]) for x in extract.snippets(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t", "key", window=7, most=3, budget=40).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        merged = []
+        for m in re.finditer("key", t or ""):
+            s, e = max(m.start() - 7, 0), min(m.end() + 7, len(t))
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        left = 40
+        for k, (s, e) in enumerate(merged[:3]):
+            if left > 0:
+                want[i, k + 1] = (s, min(e, s + left), t[s : min(e, s + left)])
+            left -= e - s
+    assert got == want and len(want) > 60
+    spans = extract.hit_spans(spark.createDataFrame([("ab" * 1000,)], "t string"), "t", "b", "h").first()["h"]
+    assert [(x["start"], x["end"]) for x in spans] == [(2 * i + 1, 2 * i + 2) for i in range(1000)]
+
+
+def test_dictionary_with_many_first_words(spark, monkeypatch):
+    dictionary = spark.createDataFrame([(f"word{i} tail", str(i)) for i in range(30)] + [("alone", "a")], "term string, value string")
+    texts = spark.createDataFrame([(1, "x word tail alone wordc tail"), (2, None)], "id int, text string")
+    dictionary = dictionary.withColumn("term", F.translate("term", "0123456789", "abcdefghij"))
+    few = sorted(map(tuple, resolve.dictionary_match(texts, "id", ["text"], dictionary).collect()))
+    monkeypatch.setattr(resolve, "FIRST_WORDS", 3)
+    assert few == sorted(map(tuple, resolve.dictionary_match(texts, "id", ["text"], dictionary).collect())) == [(1, "alone", "a"), (1, "wordc tail", "2")]
