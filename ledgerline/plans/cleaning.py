@@ -10,13 +10,8 @@ from ledgerline.functions import text as T
 from ledgerline.operators import dedup, nested, rules
 from ledgerline.plans.base import Tables, query
 
-#: A key of letters, digits and spaces: the same in every engine.
-KEY = "trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'))"
-
-
-def _key(c: str = "text"):
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), "[^a-z0-9 ]", ""))
-
+#: The library's own key: lower case, white space squeezed, punctuation dropped.
+KEY = "trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[[:punct:]]', '', 'g'))"
 
 
 def _order() -> list:
@@ -28,56 +23,16 @@ RANKED = f"SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY source, n_ch
 
 @query("dedup_text_keep_first", f"SELECT doc_id, source, n_chars FROM ({RANKED}) WHERE rn = 1")
 def _(t: Tables) -> DataFrame:
-    return dedup.keep_first(t.documents.select("doc_id", "source", "n_chars", _key().alias("k")), ["k"], _order()).select("doc_id", "source", "n_chars")
+    return dedup.keep_first(t.documents.select("doc_id", "source", "n_chars", T.dedup_key("text").alias("k")), ["k"], _order()).select("doc_id", "source", "n_chars")
 
 
 @query("dedup_removed_audit", f"SELECT doc_id, source, CAST(rn AS INT) AS dup_rank FROM ({RANKED}) WHERE rn > 1")
 def _(t: Tables) -> DataFrame:
-    return dedup.removed_rows(t.documents.select("doc_id", "source", "n_chars", _key().alias("k")), ["k"], _order()).select("doc_id", "source", "dup_rank")
+    return dedup.removed_rows(t.documents.select("doc_id", "source", "n_chars", T.dedup_key("text").alias("k")), ["k"], _order()).select("doc_id", "source", "dup_rank")
 
 
 def _pipeline(t: Tables) -> tuple[dedup.DedupPipeline, DataFrame]:
-    """Five stages over documents and the titles of pages: usable text, identifier, text, kind, long titles."""
-    docs = t.documents.select(F.lit(1).alias("rank"), F.col("doc_id").alias("id"), F.substr("text", F.lit(1), F.lit(200)).alias("body"), "source", "lang")
-    titles = t.pages.select(F.lit(2).alias("rank"), F.col("page_id").alias("id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("body"), F.lit("web").alias("source"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("lang"))
-    both = docs.unionByName(titles)
-    plain = F.trim(F.regexp_replace(F.lower("body"), "[^a-z0-9 ]", ""))
-    stages = [
-        dedup.Stage("usable", keep=F.length("body") >= 20),
-        dedup.Stage("text", key=plain),
-        dedup.Stage("language", keep=F.col("lang").isin("en", "fr", "de")),
-        dedup.Stage("beginning", key=F.when(F.length(plain) >= 15, F.substr(plain, F.lit(1), F.lit(30)))),
-    ]
-    return dedup.DedupPipeline(stages, ["rank", F.desc(F.length("body")), "id"]), both
-
-
-_PIPELINE = """base AS (SELECT 1 AS rank, doc_id AS id, substr(text, 1, 200) AS body, lang FROM documents
-  UNION ALL SELECT 2, page_id, regexp_extract(html, '<title>(.*?)</title>', 1), regexp_extract(html, 'lang="([a-z]*)"', 1) FROM pages),
-s1 AS (SELECT *, trim(regexp_replace(lower(body), '[^a-z0-9 ]', '', 'g')) AS k FROM base WHERE length(body) >= 20),
-s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, length(body) DESC, id) AS rn FROM s1) WHERE rn = 1),
-s3 AS (SELECT * FROM s2 WHERE lang IN ('en', 'fr', 'de')),
-s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length(k) >= 15 THEN substr(k, 1, 30) ELSE 'none' || rank || ' ' || id END ORDER BY rank, length(body) DESC, id) AS rm FROM s3) WHERE rm = 1)"""
-
-
-@query(
-    "dedup_stage_ledger",
-    f"""WITH {_PIPELINE}, n AS (SELECT (SELECT count(*) FROM base) AS n0, (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM s2) AS n2, (SELECT count(*) FROM s3) AS n3, (SELECT count(*) FROM s4) AS n4)
-SELECT CAST(1 AS INT) AS step, 'usable' AS stage, n0 AS rows_in, n1 AS rows_out, n0 - n1 AS removed FROM n UNION ALL SELECT 2, 'text', n1, n2, n1 - n2 FROM n
-UNION ALL SELECT 3, 'language', n2, n3, n2 - n3 FROM n UNION ALL SELECT 4, 'beginning', n3, n4, n3 - n4 FROM n""",
-)
-def _(t: Tables) -> DataFrame:
-    pipeline, rows = _pipeline(t)
-    return pipeline.run(rows)[2].drop("note")
-
-
-@query("dedup_pipeline_kept", f"WITH {_PIPELINE} SELECT CAST(rank AS INT) AS rank, id, lang FROM s4")
-def _(t: Tables) -> DataFrame:
-    pipeline, rows = _pipeline(t)
-    return pipeline.run(rows)[0].select("rank", "id", "lang")
-
-
-def _whole_pipeline(t: Tables) -> tuple[dedup.DedupPipeline, DataFrame]:
-    """The stages of ``_pipeline`` over whole texts: both keys are hashes of the whole normalised text, the second without spaces."""
+    """Four stages over documents and the titles of pages: usable text, text, language, letters; keys are hashes of whole normalised texts."""
     length = F.length("body").alias("length")
     plain = F.trim(F.regexp_replace(F.lower("body"), "[^a-z0-9 ]", ""))
     keys = [length, F.sha2(plain, 256).alias("plain"), F.when(F.length(plain) >= 15, F.sha2(F.replace(plain, F.lit(" ")), 256)).alias("letters")]
@@ -94,7 +49,7 @@ def _whole_pipeline(t: Tables) -> tuple[dedup.DedupPipeline, DataFrame]:
     return dedup.DedupPipeline(stages, ["rank", F.desc("length"), "id"]), both
 
 
-_WHOLE = """base AS (SELECT 1 AS rank, doc_id AS id, text AS body, lang FROM documents
+_PIPELINE = """base AS (SELECT 1 AS rank, doc_id AS id, text AS body, lang FROM documents
   UNION ALL SELECT 2, page_id, regexp_extract(html, '<title>(.*?)</title>', 1), regexp_extract(html, 'lang="([a-z]*)"', 1) FROM pages),
 s1 AS (SELECT *, trim(regexp_replace(lower(body), '[^a-z0-9 ]', '', 'g')) AS k FROM base WHERE length(body) >= 20),
 s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, length(body) DESC, id) AS rn FROM s1) WHERE rn = 1),
@@ -103,19 +58,19 @@ s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length
 
 
 @query(
-    "dedup_stage_ledger_whole",
-    f"""WITH {_WHOLE}, n AS (SELECT (SELECT count(*) FROM base) AS n0, (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM s2) AS n2, (SELECT count(*) FROM s3) AS n3, (SELECT count(*) FROM s4) AS n4)
+    "dedup_stage_ledger",
+    f"""WITH {_PIPELINE}, n AS (SELECT (SELECT count(*) FROM base) AS n0, (SELECT count(*) FROM s1) AS n1, (SELECT count(*) FROM s2) AS n2, (SELECT count(*) FROM s3) AS n3, (SELECT count(*) FROM s4) AS n4)
 SELECT CAST(1 AS INT) AS step, 'usable' AS stage, n0 AS rows_in, n1 AS rows_out, n0 - n1 AS removed FROM n UNION ALL SELECT 2, 'text', n1, n2, n1 - n2 FROM n
 UNION ALL SELECT 3, 'language', n2, n3, n2 - n3 FROM n UNION ALL SELECT 4, 'letters', n3, n4, n3 - n4 FROM n""",
 )
 def _(t: Tables) -> DataFrame:
-    pipeline, rows = _whole_pipeline(t)
+    pipeline, rows = _pipeline(t)
     return pipeline.run(rows)[2].drop("note")
 
 
-@query("dedup_pipeline_kept_whole", f"WITH {_WHOLE} SELECT CAST(rank AS INT) AS rank, id, lang FROM s4")
+@query("dedup_pipeline_kept", f"WITH {_PIPELINE} SELECT CAST(rank AS INT) AS rank, id, lang FROM s4")
 def _(t: Tables) -> DataFrame:
-    pipeline, rows = _whole_pipeline(t)
+    pipeline, rows = _pipeline(t)
     return pipeline.run(rows)[0].select("rank", "id", "lang")
 
 

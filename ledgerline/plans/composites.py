@@ -106,11 +106,119 @@ def _(t: Tables) -> DataFrame:
     return analyses.draw_sample(t.documents.select("doc_id", "lang"), 60, ["lang"], "doc_id", "s", t.labels.where("toxic = 1"), shared=20)
 
 
-@query("analysis_robustness")
-def _(t: Tables) -> DataFrame:
+def _effort(t: Tables) -> DataFrame:
     counts = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("effort"))
-    rows = t.supplier.join(counts, "s_suppkey", "left").fillna(0, ["effort"]).withColumn("area", F.col("s_nationkey") + 1.0)
-    return analyses.robustness(rows, "s_suppkey", "effort", "s_acctbal", "area", "s_nationkey")["quartiles"]
+    return t.supplier.join(counts, "s_suppkey", "left").fillna(0, ["effort"]).withColumn("area", F.col("s_nationkey") + 1.0)
+
+
+def _robustness(t: Tables) -> analyses.Results:
+    return analyses.robustness(_effort(t), "s_suppkey", "effort", "s_acctbal", "area", "s_nationkey")
+
+
+_EFFORT = "r AS (SELECT s_suppkey, s_acctbal, s_nationkey, s_nationkey + 1.0 AS area, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)"
+_TILES = "k AS (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r, count(*) OVER () AS a FROM r), t AS (SELECT *, CAST(1 + (r > 1 + (a - 1) / 4)::INT + (r > 1 + 2 * (a - 1) / 4)::INT + (r > 1 + 3 * (a - 1) / 4)::INT AS INT) AS tile FROM k)"
+
+
+@query("analysis_robustness", f"WITH {_EFFORT}, {_TILES} SELECT tile, count(*) AS n, median(n) AS median, round(avg(n), 6) AS mean FROM t GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return _robustness(t)["quartiles"].withColumn("mean", F.round("mean", 6))
+
+
+def _midrank(c: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"(rank() OVER ({part}ORDER BY {c}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{c}) - 1) / 2.0)"
+
+
+@query(
+    "analysis_robustness_test",
+    f"""WITH {_EFFORT}, {_TILES}, g AS (SELECT tile, n, {_midrank("n")} AS k FROM t), s AS (SELECT tile, sum(k) AS s, count(*) AS c FROM g GROUP BY 1), x AS (SELECT sum(power(c, 3) - c) AS x FROM (SELECT count(*) AS c FROM t GROUP BY n)), z AS (SELECT count(*)::DOUBLE AS z FROM t)
+SELECT round((12 / (z * (z + 1)) * (SELECT sum(s * s / c) FROM s) - 3 * (z + 1)) / (1 - x / (z * z * z - z)), 5) AS h, (SELECT count(*) - 1 FROM s) AS df, CAST(z AS BIGINT) AS n FROM z, x""",
+)
+def _(t: Tables) -> DataFrame:
+    return _robustness(t)["quartile_test"].withColumn("h", F.round("h", 5))
+
+
+@query("analysis_robustness_regions", f"WITH {_EFFORT}, k AS (SELECT s_nationkey, {_midrank('n', 's_nationkey')} AS a, {_midrank('s_acctbal', 's_nationkey')} AS b FROM r) SELECT s_nationkey, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return _robustness(t)["regions"].withColumn("rho", F.round("rho", 6))
+
+
+@query("analysis_robustness_density", f"WITH {_EFFORT}, d AS (SELECT 1000.0 * n / area AS x, 1000.0 * s_acctbal / area AS y FROM r), k AS (SELECT {_midrank('x')} AS a, {_midrank('y')} AS b FROM d) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM k")
+def _(t: Tables) -> DataFrame:
+    return _robustness(t)["density"].withColumn("rho", F.round("rho", 6))
+
+
+@query(
+    "analysis_robustness_model",
+    f"""WITH {_EFFORT}, l AS (SELECT CASE WHEN s_acctbal > -1 THEN log10(s_acctbal + 1) END AS x, log10(n + 1) AS y FROM r), f AS (SELECT regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM l)
+SELECT CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(intercept, 5) AS intercept, round(r2, 6) AS r2, round(sqrt((1 - r2) * syy / (n - 2) / sxx), 6) AS slope_error FROM f""",
+)
+def _(t: Tables) -> DataFrame:
+    out = _robustness(t)["model"]
+    return out.select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("slope_error", 6).alias("slope_error"))
+
+
+@query("analysis_missing", "SELECT 'o_orderstatus' AS \"column\", count(*) AS rows, count(*) FILTER (o_orderstatus IS NULL OR trim(o_orderstatus) = '') AS missing, round(100.0 * count(*) FILTER (o_orderstatus IS NULL OR trim(o_orderstatus) = '') / count(*), 6) AS missing_percent FROM orders")
+def _(t: Tables) -> DataFrame:
+    return analyses.quality_checks(t.orders, "o_custkey", ["o_orderstatus"])["missing"].withColumn("missing_percent", F.round("missing_percent", 6))
+
+
+@query("analysis_statuses", "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2")
+def _(t: Tables) -> DataFrame:
+    return analyses.quality_checks(t.orders, "o_custkey", ["o_orderstatus"], ["o_orderstatus"])["statuses"]
+
+
+@query("analysis_duplicates", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    return analyses.quality_checks(t.orders, "o_custkey", ["o_orderstatus"])["duplicates"]
+
+
+_STUDIED = "s AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')"
+
+
+@query("analysis_coverage_by_group", f"WITH {_STUDIED} SELECT p_brand, count(DISTINCT p_partkey) AS known, count(DISTINCT l_partkey) AS studied, count(DISTINCT p_partkey) - count(DISTINCT l_partkey) AS not_studied, round(100.0 * count(DISTINCT l_partkey) / count(DISTINCT p_partkey), 6) AS coverage_percent FROM part LEFT JOIN s ON l_partkey = p_partkey GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    known, studied = _parts(t)
+    return analyses.coverage_levels(known, studied, ["p_partkey"], "p_brand")["p_partkey_by_p_brand"].withColumn("coverage_percent", F.round("coverage_percent", 6))
+
+
+@query("analysis_most_studied", "SELECT l_partkey AS p_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 100")
+def _(t: Tables) -> DataFrame:
+    known, studied = _parts(t)
+    return analyses.coverage_levels(known, studied, ["p_partkey"], "p_brand")["most_studied"]
+
+
+def _score(t: Tables) -> analyses.Results:
+    """Labels of quality as truth, long documents as what was found; event types of a user's days as ratings."""
+    truth = t.labels.where("quality = 1").select(F.lit("all").alias("stage"), "doc_id", "quality")
+    found = t.documents.where("n_chars > 800").join(t.labels.select("doc_id"), "doc_id").select(F.lit("all").alias("stage"), "doc_id", F.lit(1).alias("quality"))
+    ratings = t.events.select(F.lit("type").alias("field"), "user_id", "event_type", "event_id")
+    return analyses.score(truth, found, ratings, ["doc_id"], ["stage"], ["quality"], ["user_id"], "field", "event_type", "event_id")
+
+
+_SCORED = "t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), f AS (SELECT DISTINCT doc_id FROM documents JOIN labels USING (doc_id) WHERE n_chars > 800)"
+
+
+@query("analysis_score_missed", f"WITH {_SCORED} SELECT 'all' AS stage, doc_id FROM t WHERE doc_id NOT IN (SELECT doc_id FROM f)")
+def _(t: Tables) -> DataFrame:
+    return _score(t)["missed"]
+
+
+@query("analysis_score_wrong", f"WITH {_SCORED} SELECT 'all' AS stage, doc_id FROM f WHERE doc_id NOT IN (SELECT doc_id FROM t)")
+def _(t: Tables) -> DataFrame:
+    return _score(t)["wrong"]
+
+
+@query(
+    "analysis_score_agreement",
+    """WITH c AS (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL), i AS (SELECT user_id, sum(n) AS r, sum(n * n) AS q FROM c GROUP BY ALL HAVING sum(n) > 1),
+o AS (SELECT count(*) AS items, avg((q - r) / (r * (r - 1))) AS po, sum(r) AS total FROM i), s AS (SELECT k, sum(n) AS n, sum(n / r) AS p FROM c JOIN i USING (user_id) GROUP BY 1),
+e AS (SELECT sum(power(n / total, 2)) AS fe, sum(p / items * (1 - p / items)) / (count(*) - 1) AS ge, count(*) AS k FROM s, o)
+SELECT 'type' AS field, items, k AS categories, round(po, 6) AS observed, round((po - fe) / (1 - fe), 6) AS fleiss_kappa, round((po - ge) / (1 - ge), 6) AS gwet_ac1 FROM o, e""",
+)
+def _(t: Tables) -> DataFrame:
+    out = _score(t)["agreement"]
+    return out.select("field", "items", "categories", *(F.round(c, 6).alias(c) for c in ("observed", "fleiss_kappa", "gwet_ac1")))
 
 
 @query("analysis_staged_extraction")
@@ -118,7 +226,7 @@ def _(t: Tables) -> DataFrame:
     return analyses.staged_extraction(t.documents, "doc_id", "text", "^[A-E]", 800, 100, r"\b[A-Z][a-z]{4,}\b", "thing")["entities"]
 
 
-@query("analysis_heal_rows")
+@query("analysis_heal_rows", "SELECT p_partkey, CAST(1 AS BIGINT) AS record, '10.' || p_partkey AS doi, string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[-1] AS name, p_type AS type, p_brand AS brand FROM part")
 def _(t: Tables) -> DataFrame:
     """Lines that begin with a part number, with names broken over lines, as rows of four columns."""
     text = F.concat_ws("\n", F.concat(F.lit("10."), F.col("p_partkey").cast("string"), F.lit("|"), F.substring_index("p_name", " ", 1)), F.concat(F.substring_index("p_name", " ", -1), F.lit("|"), F.col("p_type"), F.lit("|"), F.col("p_brand")))

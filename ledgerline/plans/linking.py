@@ -222,27 +222,42 @@ def _taxonomy(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return accepted, synonyms, tokens
 
 
-@query(
-    "resolve_precedence",
-    """WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ')[1] AS a, string_split(lower(p_name), ' ')[2] AS b FROM part),
+_RESOLVED = """p AS (SELECT p_partkey, string_split(lower(p_name), ' ')[1] AS a, string_split(lower(p_name), ' ')[2] AS b FROM part),
 acc AS (SELECT a || ' ' || b AS key, min(p_partkey) AS id, a, b FROM p GROUP BY a, b), syn AS (SELECT b || ' ' || a AS key, min(id) AS id FROM acc WHERE id % 2 = 0 GROUP BY 1),
 tok AS (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN a || ' ' || b WHEN 1 THEN b || ' ' || a WHEN 2 THEN a[1] || '. ' || b ELSE 'zzz unknown' END AS key FROM lineitem JOIN p ON p_partkey = l_partkey),
 d AS (SELECT DISTINCT * FROM tok), gen AS (SELECT DISTINCT l_orderkey, string_split(key, ' ')[1] AS g FROM d WHERE NOT key LIKE '_. %'),
-abb AS (SELECT d.l_orderkey, d.key, count(*) AS n, count(g) AS m, first(acc.id ORDER BY CASE WHEN g IS NULL THEN 1 ELSE 0 END, acc.id) AS id FROM d JOIN acc ON d.key LIKE '_. %' AND d.key[1] = acc.a[1] AND substr(d.key, 4) = acc.b LEFT JOIN gen ON gen.l_orderkey = d.l_orderkey AND gen.g = acc.a GROUP BY ALL)
-SELECT CASE WHEN acc.id IS NOT NULL THEN 'accepted' WHEN syn.id IS NOT NULL THEN 'synonym' WHEN n IS NOT NULL THEN 'abbreviation' ELSE 'no_match' END AS method,
-  CASE WHEN acc.id IS NOT NULL THEN 1.0 WHEN syn.id IS NOT NULL THEN 0.95 WHEN n = 1 OR m = 1 THEN 0.75 WHEN n IS NOT NULL THEN 0.55 ELSE 0.0 END::DOUBLE AS confidence,
-  count(*) AS tokens, CAST(sum(coalesce(acc.id, syn.id, abb.id, 0)) AS BIGINT) AS id_sum FROM tok LEFT JOIN acc ON acc.key = tok.key LEFT JOIN syn ON syn.key = tok.key LEFT JOIN abb ON abb.l_orderkey = tok.l_orderkey AND abb.key = tok.key GROUP BY 1, 2""",
-)
+abb AS (SELECT d.l_orderkey, d.key, count(*) AS n, count(g) AS m, first(acc.id ORDER BY CASE WHEN g IS NULL THEN 1 ELSE 0 END, acc.id) AS id FROM d JOIN acc ON d.key LIKE '_. %' AND d.key[1] = acc.a[1] AND substr(d.key, 4) = acc.b LEFT JOIN gen ON gen.l_orderkey = d.l_orderkey AND gen.g = acc.a GROUP BY ALL),
+resolved AS (SELECT tok.l_orderkey, tok.key, CASE WHEN acc.id IS NOT NULL THEN 'accepted' WHEN syn.id IS NOT NULL THEN 'synonym' WHEN n IS NOT NULL THEN 'abbreviation' ELSE 'no_match' END AS method,
+  CASE WHEN acc.id IS NOT NULL THEN 1.0 WHEN syn.id IS NOT NULL THEN 0.95 WHEN n = 1 OR m = 1 THEN 0.75 WHEN n IS NOT NULL THEN 0.55 ELSE 0.0 END::DOUBLE AS confidence, coalesce(acc.id, syn.id, abb.id) AS id
+  FROM tok LEFT JOIN acc ON acc.key = tok.key LEFT JOIN syn ON syn.key = tok.key LEFT JOIN abb ON abb.l_orderkey = tok.l_orderkey AND abb.key = tok.key)"""
+
+
+@query("resolve_precedence", f"WITH {_RESOLVED} SELECT method, confidence, count(*) AS tokens, CAST(sum(coalesce(id, 0)) AS BIGINT) AS id_sum FROM resolved GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     accepted, synonyms, tokens = _taxonomy(t)
     out = resolve.resolve_names(tokens, "token", "l_orderkey", accepted, synonyms)
     return out.groupBy("method", "confidence").agg(F.count("*").alias("tokens"), F.sum(F.coalesce("resolved_id", F.lit(0))).alias("id_sum"))
 
 
-@query("review_queue")
+@query("review_queue", f"WITH {_RESOLVED} SELECT key AS token, method, count(*) AS n FROM resolved WHERE confidence < 0.6 GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    accepted, synonyms, tokens = _taxonomy(t)
+    queue = resolve.review_queue(resolve.resolve_names(tokens, "token", "l_orderkey", accepted, synonyms))
+    return queue.groupBy(F.lower("token").alias("token"), "method").agg(F.count("*").alias("n"))
+
+
+@query(
+    "resolve_cells",
+    f"""WITH {_RESOLVED}, names AS (SELECT key, id, a || ' ' || b AS name FROM acc) SELECT l_orderkey, string_agg(DISTINCT CAST(r.id AS VARCHAR), '; ' ORDER BY CAST(r.id AS VARCHAR)) AS ids,
+  CASE WHEN count(r.id) = count(*) THEN 'Resolved' WHEN count(r.id) > 0 THEN 'Partially resolved' ELSE 'Unresolved' END AS status FROM (SELECT DISTINCT l_orderkey, key, id FROM resolved) r GROUP BY l_orderkey""",
+)
 def _(t: Tables) -> DataFrame:
+    from ledgerline.plans import analyses
+
     accepted, synonyms, tokens = _taxonomy(t)
-    return resolve.review_queue(resolve.resolve_names(tokens, "token", "l_orderkey", accepted, synonyms)).groupBy("token", "method").agg(F.count("*").alias("n"))
+    cells = tokens.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("token")), "; ").alias("cell")).withColumn("group", F.col("l_orderkey"))
+    out = analyses.resolve_cells(cells, "l_orderkey", "cell", "group", accepted, synonyms)["cells"]
+    return out.select("l_orderkey", F.when(F.col("ids") != "", F.col("ids")).alias("ids"), "status")
 
 
 @query(
@@ -313,17 +328,8 @@ def _(t: Tables) -> DataFrame:
     return keep_first(rows, ["item"], [best, "o_orderkey"]).select("item", "status")
 
 
-@query("derived_key_join", "SELECT regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') AS join_key, a.c_custkey AS c_custkey_x, b.c_custkey AS c_custkey_y FROM customer a JOIN customer b ON b.c_custkey % 3 = 0 AND regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(upper(b.c_name)), '[^a-z0-9]', '', 'g') WHERE a.c_custkey < 300")
-def _(t: Tables) -> DataFrame:
-    from ledgerline.functions.text import alnum_key
-
-    right = t.customer.where("c_custkey % 3 = 0").select(F.upper("c_name").alias("c_name"), "c_custkey")
-    return joins.joined_on(t.customer.where("c_custkey < 300").select("c_name", "c_custkey"), right, alnum_key("c_name")).select("join_key", "c_custkey_x", "c_custkey_y")
-
-
-@query("derived_key_join_whole", "SELECT regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') AS join_key, a.c_custkey AS c_custkey_x, b.c_custkey AS c_custkey_y FROM customer a JOIN customer b ON regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(upper(b.c_name)), '[^a-z0-9]', '', 'g')")
+@query("derived_key_join", "SELECT regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') AS join_key, a.c_custkey AS c_custkey_x, b.c_custkey AS c_custkey_y FROM customer a JOIN customer b ON regexp_replace(lower(a.c_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(upper(b.c_name)), '[^a-z0-9]', '', 'g')")
 def _(t: Tables) -> DataFrame:
-    """Every customer on both sides; ``derived_key_join`` and its SQL hold a subset of ids."""
     from ledgerline.functions.text import alnum_key
 
     right = t.customer.select(F.upper("c_name").alias("c_name"), "c_custkey")
