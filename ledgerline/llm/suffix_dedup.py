@@ -17,15 +17,18 @@ anywhere, so suffixes are first brought together that can match at all:
    key meet in one task, where a suffix order of all their windows is built by doubling; the previous
    and next smaller positions in that order give each window's longest previous factor, capped at
    ``length``: windows that reach it are repeats.
-4. The repeats of each text are united and cut out.
+4. An anchor with more than HOT contents - a common header before ever different bodies - could still make
+   a group of any size.  Its windows are rows of their own instead: the first of equal ones is found by an
+   aggregation that combines before the shuffle.
+5. The repeats of each text are united and cut out.
 
-Content is compared by 64-bit hashes within equal 64-bit anchor hashes in step 2, and byte for byte in
-step 3.
+Content is compared by 64-bit hashes within equal 64-bit anchor hashes in step 2, by 128-bit hashes in
+step 4, and byte for byte in step 3.
 
 Defined results: a null text counts as empty; a row without an id is kept whole and matches nothing;
- texts shorter than ``length`` are kept; rows that repeat
-an id are one document to the order of starts, so equal strings at the same id and start keep each
-other; an empty table gives an empty result; columns besides id and text are ignored.
+texts shorter than ``length`` are kept; rows that repeat an id are one document to the order of starts, so
+equal strings at the same id and start keep each other; an empty table gives an empty result; columns besides
+id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +45,10 @@ from ledgerline.llm.common import cut, shuffle_partitions, slices, table
 
 LENGTH = 100
 GRAM = 32
+#: Contents of an anchor beyond which its windows are compared one by one.
+HOT = 1 << 14
+#: Hot anchors that are broadcast (8 bytes each); more of them are joined by a shuffle.
+FEW = 1 << 17
 #: Bytes of text that are hashed at once, and of stretches that are sorted at once.
 AT_ONCE, SORTED_AT_ONCE = 1 << 20, 1 << 21
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -199,11 +206,15 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _sifted(anchored: DataFrame, partitions: int) -> DataFrame:
-    """Of the sorted stretches: repeats of an equal one (whole), and firsts of contents that share an anchor."""
+    """Of the sorted stretches: repeats of an equal one (whole), and firsts of contents that share an anchor.
+
+    An anchor with more than HOT contents has a row with neither (``whole`` null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the first row of the anchor at hand, while it has one content
         anchor = content = first = None
+        seen = 0  # contents of the anchor at hand
         for batch in batches:
             known = batch.column("known").to_numpy(zero_copy_only=False)
             c = [batch.column(n).to_numpy() for n in ("anchor", "content", "id", "twin", "spot")]
@@ -226,6 +237,13 @@ def _sifted(anchored: DataFrame, partitions: int) -> DataFrame:
             # Firsts of contents: all but those of an anchor with one content only.
             firsts = np.flatnonzero(new_c)
             more = ~new_a[firsts]  # a further content of its anchor
+            if len(firsts):
+                place = np.arange(len(firsts))
+                opened = np.maximum.accumulate(np.where(more, -1, place))
+                nth = np.where(opened >= 0, place - opened + 1, seen + place + 1)
+                seen = int(nth[-1])
+                if (hot := firsts[nth == HOT + 1]).size:
+                    yield _sift_rows([x[hot] for x in c], None)
             opens = np.zeros(len(firsts), bool)
             opens[:-1] = new_a[firsts[:-1]] & more[1:]
             keep = firsts[more | opens]
@@ -247,8 +265,8 @@ def _sifted(anchored: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, id long, twin int, spot long, whole boolean")
 
 
-def _sift_rows(c: list[np.ndarray], whole: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(np.full(len(c[0]), whole))], names=["anchor", "id", "twin", "spot", "whole"])
+def _sift_rows(c: list[np.ndarray], whole: bool | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array([whole] * len(c[0]), pa.bool_())], names=["anchor", "id", "twin", "spot", "whole"])
 
 
 def _halves(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
@@ -279,6 +297,29 @@ def _halves(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     return joined.select("id", "twin", "text", "spots").mapInArrow(run, "key long, id long, twin int, start long, bytes binary")
 
 
+def _one_by_one(rows: DataFrame, stretched: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of the stretches in ``stretched``, as spots (id, twin, spot): all but the first of equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches, 64):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for key, twin, text, spots in zip(batch.column("id").to_pylist(), batch.column("twin").to_pylist(), texts, batch.column("spots").to_pylist()):
+                at = np.unique(np.concatenate([np.arange(s >> 8, (s >> 8) + (s & 255)) for s in spots]))
+                same = b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in at.tolist())
+                high, low = np.frombuffer(same, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high, low, np.full(len(at), key), np.full(len(at), twin, np.int32), at)], names=["high", "low", "id", "twin", "start"])
+
+    spots = stretched.groupBy("id", "twin").agg(F.collect_list("spot").alias("spots"))
+    windows = rows.join(spots, ["id", "twin"]).select("id", "twin", "text", "spots").mapInArrow(run, "high long, low long, id long, twin int, start long")
+    windows = cut(windows, "windows")
+    # Written, so that the join is one of two shuffles, whose hot keys AQE splits.
+    firsts = cut(windows.groupBy("high", "low").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "window-firsts")
+    later = F.struct("id", "start") > F.col("first")
+    return windows.join(firsts, ["high", "low"]).where(later).select("id", "twin", (F.col("start") * 256 + 1).alias("spot"))
+
+
 def _factored(halves: DataFrame, partitions: int, length: int) -> DataFrame:
     """Repeated windows among stretches that share a key, as spots (id, twin, spot)."""
 
@@ -338,8 +379,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     partitions = shuffle_partitions(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col).where("id is not null")
     sifted = cut(_sifted(_anchored(rows.where(F.octet_length("text") >= length), length), partitions), "stretches")
-    halves = _halves(rows, sifted.where("not whole").select("id", "twin", "spot"), length)
-    found = _factored(halves, partitions, length).unionByName(sifted.where("whole").select("id", "twin", "spot"))
+    firsts, hot = sifted.where("not whole"), sifted.where("whole is null").select("anchor")
+    found = sifted.where("whole").select("id", "twin", "spot")
+    if n := hot.count():
+        hot = F.broadcast(hot) if n <= FEW else hot
+        found = found.unionByName(_one_by_one(rows, firsts.join(hot, "anchor", "left_semi"), length))
+        firsts = firsts.join(hot, "anchor", "left_anti")
+    found = found.unionByName(_factored(_halves(rows, firsts.select("id", "twin", "spot"), length), partitions, length))
     return found.groupBy("id", "twin").agg(F.collect_list("spot").alias("spots"))
 
 

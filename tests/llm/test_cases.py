@@ -147,6 +147,24 @@ def test_suffix_repeats_of_repeated_ids(spark):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got.collect()) == sorted(want)
 
 
+def test_one_header_before_many_bodies(spark, monkeypatch):
+    """Windows at the end of a common header are equal in part and differ in their stretches."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    r = random.Random(6)
+    header = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, header + "".join(r.choice("xyz") for _ in range(130))) for i in range(60)] + [(70, "q" * 50 + header[100:]), (71, "plain " * 40)]
+    rows += [(80, header + "same tail " * 12), (81, header + "same tail " * 12)]
+    first, want = {}, {}
+    for i, t in rows:
+        marks = np.zeros(len(t), bool)
+        for s in range(len(t) - 99):
+            if first.setdefault(t[s : s + 100], (i, s)) != (i, s):
+                marks[s : s + 100] = True
+        want[i] = int(marks.sum())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
 # --- urls -----------------------------------------------------------------------------------------------------
 
 
