@@ -39,10 +39,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; results that still read them must be written before."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables of this process written from number ``since`` on, but for the last ``keep``.
+
+    Results that still read them must be written before.
+    """
+    end = len(WRITTEN) - keep
+    gone, WRITTEN[since:end] = WRITTEN[since:end], []
+    for made in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

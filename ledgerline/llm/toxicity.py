@@ -4,17 +4,19 @@ A bounded, hash-chosen sample of labelled rows (MOST_TOXIC and MOST_CLEAN rows a
 three: one part yields the lexicon (words and word beginnings that toxic rows favour, by a smoothed
 log-odds z-score), one grows the trees, and one fits the isotonic curve from tree margin to
 probability.  A sampled row counts for as many training labels of its class as there are for each sampled
-one, so scores keep the true share of toxic rows whatever the bounds.  Rows whose crc32(doc_id as text) mod 5 is 0 are never looked at.  Every text is then
-scored whole, in one pass over the documents.
+one, so scores keep the true share of toxic rows whatever the bounds.  Rows whose crc32(doc_id as text)
+mod 5 is 0 are never looked at.  The lexicon has TERMS terms at most.  Every text is then scored whole, in one
+pass over the documents.
 
 Features of a text: lexicon densities (share of words, count, sum and largest weight), lexicon words
 near a second-person word, capitals, punctuation, exclamation marks, obfuscated words (letters mixed
 with digits or signs), and length.
 
 Defined results: a null text counts as empty and gets the score of a text without words; labels that
-are null take no part, repeated labels count once (the largest); with no toxic or no clean label to
-learn from, every score is the share of toxic labels (0 without any); columns besides id and text are
-ignored.
+are null take no part, repeated labels count once (the largest); labels without a document and documents
+without an id are not learnt from; with no toxic or no clean label to learn from, every score is the share of
+toxic labels (0 without any); repeated documents each get their score, equal texts the same one; an empty table
+gives an empty result; columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -358,3 +358,29 @@ def test_many_equal_rows_mix(spark, monkeypatch):
     assert max(hot) - min(hot) <= 1 and max(hot) <= 2 and abs(3 * sum(hot) - rows[0]["target"] if rows[0]["source"] == "hot" else 0) <= 3
     got = Counter((r["doc_id"], r["extra"]) for r in mixing.mix(docs).collect())
     assert got[1, 5] == sum(hot) and sum(n for (i, _), n in got.items() if i == 2) == sum(r["copies"] for r in rows if r["row_id"] == 2)
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    label = "doc_id long, quality int, toxic int"
+    rows = [(i, t, "en", [None, "s", "t"][i % 3], len(t or ""), "x", "y") for i, t in enumerate(texts_of(12))] + [(None, "no id a@b.co", None, None, None, None, None)] * 2
+    cases = {"empty": [], "odd": rows + rows[3:5]}
+    for name, docs in cases.items():
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, DOCS + ", findings string, _row string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], label).write.parquet(f"{folder}/labels.parquet")
+        before, now = len(common.WRITTEN), spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, folder)
+            assert now.columns == spark.read.parquet(f"{folder}/documents.parquet").columns, stage
+            now = common.cut(now, "odd")
+        if docs:
+            assert all("@" not in r["text"] and r["n_chars"] == len(r["text"]) for r in now.collect())
+        common.discard(spark, since=before)
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "n_tokens", "ids"] and (out.count() > 0) == bool(docs)
+        assert len(common.WRITTEN) == before + 1
