@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 SMALL = 32 << 20
 
 
+def estimated_size(df: DataFrame) -> int:
+    """Bytes, by the optimizer's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if its estimated size is under the limit; else unchanged (shuffled, skew handled by AQE)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_size(df) <= limit else df
 
 
 def unique_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import small
+from ledgerline.operators.ranks import ordered
 
 
 def shuffled(key: str, seed: str = "") -> Column:
@@ -89,7 +90,7 @@ def interleaved(df: DataFrame, strata: Sequence[str], key: str, seed: str = "",
     """Rows in rounds, one of each stratum a round, so every beginning of the list is balanced; larger strata first."""
     window = Window.partitionBy(*strata)
     ranked = df.withColumn("_round", F.row_number().over(window.orderBy(shuffled(key, seed), key))).withColumn("_size", F.count("*").over(window))
-    return ranked.withColumn(name, F.row_number().over(Window.orderBy("_round", F.desc("_size"), *strata))).drop("_round", "_size")
+    return ordered(ranked, "_round", [F.desc("_size"), *strata]).withColumn(name, F.col("_place").cast("int")).drop("_round", "_size", "_place", "_total", "_before")
 
 
 def shard(df: DataFrame, number: str, shards: int, mine: int) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import small
+from ledgerline.operators.ranks import ordered
 
 
 def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, ties averaged.  Values are counted first, so the ranking window sees each distinct value once."""
+    """Ranks from 1, ties averaged.  Values are counted first, so only distinct ones are put in order."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    ranks = ordered(counts, value, by=by, measure="_n").select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import percent
+from ledgerline.operators.ranks import ordered
 
 
 def counted(df: DataFrame, keys: Sequence[str], entity: str | None = None, share: str | None = "share", within: Sequence[str] = ()) -> DataFrame:
@@ -71,13 +72,13 @@ def modal(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
 def percentile_class(df: DataFrame, measure: str, classes: Sequence[tuple[float, str]], last: str, name: str = "bias_class") -> DataFrame:
     """The percent rank of ``measure`` over all rows, and its class; zero rows go to the first class.
 
-    The rank of a value is the number of smaller rows: values are counted first, so the global window runs
-    over distinct values (one row each), and the rank is joined back by value.
+    The rank of a value is the number of smaller rows: values are counted first, distinct ones put in order,
+    and ranks joined back by value.
     """
     values = df.where(F.col(measure).isNotNull()).groupBy(measure).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(measure).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranks = values.select(measure, F.when(total > 1, below / (total - 1)).otherwise(0.0).alias("percentile"))
+    # One row: how many rows have a value.
+    total = values.agg(F.sum("_n").alias("_all"))
+    ranks = ordered(values, measure, measure="_n").crossJoin(F.broadcast(total)).select(measure, F.when(F.col("_all") > 1, F.col("_before") / (F.col("_all") - 1)).otherwise(0.0).alias("percentile"))
     chain = F.when(F.col("percentile").isNull(), F.lit(None).cast("string"))
     for edge, label in classes:
         chain = chain.when(F.col("percentile") < edge, label)
@@ -86,26 +87,25 @@ def percentile_class(df: DataFrame, measure: str, classes: Sequence[tuple[float,
 
 def quartiles(df: DataFrame, measure: str, key: str, by: Sequence[str] = (), n: int = 4) -> DataFrame:
     """``ntile`` groups: sizes differ by at most one, the larger first."""
-    return df.withColumn("tile", F.ntile(n).over(Window.partitionBy(*by).orderBy(measure, key)))
+    size, more = F.floor(F.col("_total") / n), F.col("_total") % n
+    large = more * (size + 1)  # rows of the groups that hold one more
+    tile = F.when(F.col("_place") <= large, F.ceil(F.col("_place") / (size + 1))).otherwise(more + F.ceil((F.col("_place") - large) / F.greatest(size, F.lit(1))))
+    return ordered(df, measure, [key], by).withColumn("tile", tile.cast("int")).drop("_place", "_total", "_before")
 
 
 def cut_quantiles(df: DataFrame, measure: str, key: str, by: Sequence[str] = (), n: int = 4) -> DataFrame:
     """Groups by linear quantile edges of the rank (ties by key), intervals closed on the right."""
-    window = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(window.orderBy(measure, key))).withColumn("_n", F.count("*").over(window))
     tile = F.lit(1)
     for i in range(1, n):
-        tile = tile + F.when(F.col("_r") > 1 + i * (F.col("_n") - 1) / n, 1).otherwise(0)
-    return ranked.withColumn("tile", tile).drop("_r", "_n")
+        tile = tile + F.when(F.col("_place") > 1 + i * (F.col("_total") - 1) / n, 1).otherwise(0)
+    return ordered(df, measure, [key], by).withColumn("tile", tile).drop("_place", "_total", "_before")
 
 
 def coverage_curve(counts: DataFrame, item: str, n: str = "n") -> DataFrame:
     """Items by falling count: place, running count and running share of the total."""
-    order = Window.orderBy(F.desc(n), item)
-    running = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = counts.withColumn("place", F.row_number().over(order)).withColumn("running", running)
-    total = counts.agg(F.sum(n).alias("_total"))
-    return out.crossJoin(F.broadcast(total)).withColumn("running_share", F.col("running") / F.col("_total")).drop("_total")
+    out = ordered(counts, n, [item], measure=n, falling=True).withColumn("place", F.col("_place").cast("int")).withColumn("running", F.col("_before") + F.col(n))
+    total = counts.agg(F.sum(n).alias("_all"))
+    return out.crossJoin(F.broadcast(total)).withColumn("running_share", F.col("running") / F.col("_all")).drop("_all", "_place", "_total", "_before")
 
 
 def rescaled(df: DataFrame, value: str, by: Sequence[str], name: str = "scaled") -> DataFrame:

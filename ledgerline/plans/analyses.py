@@ -58,6 +58,16 @@ def link_places(df: DataFrame, entity: str, cell: str, dimension: DataFrame, cod
     return {"links": links, "counts": counts, "unmatched": coded.where(F.col(code).isNull()).groupBy("place").agg(F.count("*").alias("n"))}
 
 
+def enrich_places(dimension: DataFrame, code: str, series: Mapping[str, DataFrame], year: str, value: str) -> DataFrame:
+    """A dimension with the latest value of each series ({column: rows of code, year, value}) and its year; null where a series has none."""
+    out = dimension
+    for column, rows in series.items():
+        known = rows.where(F.col(value).isNotNull() & F.col(code).isNotNull())
+        last = known.groupBy(code).agg(F.max_by(value, F.struct(year, value)).alias(column), F.max(year).alias(f"{column}_{year}"))
+        out = out.join(joins.small(last), code, "left")
+    return out
+
+
 def quality_checks(df: DataFrame, key: str, required: Sequence[str], statuses: Sequence[str] = ()) -> Results:
     """Missing values, status counts, duplicate ids and a one-row profile."""
     profile = df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("ids"), F.count_if(F.col(key).isNull()).alias("no_id"))

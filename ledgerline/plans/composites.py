@@ -70,6 +70,17 @@ def _(t: Tables) -> DataFrame:
     return analyses.link_places(rows, "c_custkey", "cell", t.nation, "n_nationkey", "n_name")["counts"]
 
 
+@query(
+    "analysis_enrich_places",
+    """WITH o AS (SELECT c_nationkey AS n_nationkey, year(o_orderdate) AS year, max(o_totalprice) AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 450000 GROUP BY ALL),
+l AS (SELECT n_nationkey, arg_max(value, (year, value)) AS v, max(year) AS y FROM o GROUP BY 1) SELECT n_nationkey, n_name, v AS price, CAST(y AS INT) AS price_year FROM nation LEFT JOIN l USING (n_nationkey)""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.orders.where("o_totalprice > 450000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    yearly = rows.groupBy(F.col("c_nationkey").alias("n_nationkey"), F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("value"))
+    return analyses.enrich_places(t.nation.select("n_nationkey", "n_name"), "n_nationkey", {"price": yearly}, "year", "value")
+
+
 @query("analysis_multi_label_curve", "WITH c AS (SELECT w AS label, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1) SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INT) AS place, CAST(sum(n) OVER (ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, round(sum(n) OVER (ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM c), 6) AS running_share FROM c")
 def _(t: Tables) -> DataFrame:
     suite = analyses.multi_label_suite(t.part, "p_partkey", F.split("p_name", " "), "p_brand", "p_size")

@@ -211,6 +211,13 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def feature_attributes(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """The attributes of the features of GeoJSON files (such as areas with code, name, continent) as strings; shapes are left out."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    each = whole.select(F.explode(F.try_variant_get("v", "$.features", "array<variant>")).alias("f"))
+    return each.select(*(F.try_variant_get("f", f"$.properties['{name}']", "string").alias(name) for name in fields))
+
+
 def config(spark: SparkSession, path: str) -> dict:
     """A JSON settings file, read once per session and path."""
     cache = spark.__dict__.setdefault("_ledgerline_config", {})

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.ranks import ordered
+
 
 def new_rows(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is not in the sink yet."""
@@ -34,10 +36,8 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, value: str, look_up: C
 
 def checkpointed_counts(df: DataFrame, number: str, every: int) -> DataFrame:
     """(checkpoint, rows, done): progress after every ``every`` rows."""
-    from pyspark.sql import Window
-
     per = df.groupBy(F.floor(F.col(number) / every).alias("checkpoint")).agg(F.count("*").alias("rows"))
-    return per.withColumn("done", F.sum("rows").over(Window.orderBy("checkpoint").rowsBetween(Window.unboundedPreceding, 0)))
+    return ordered(per, "checkpoint", measure="rows").select("checkpoint", "rows", (F.col("_before") + F.col("rows")).alias("done"))
 
 
 def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: Sequence[str], transform: Callable[[DataFrame], DataFrame] = lambda d: d):

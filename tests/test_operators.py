@@ -189,3 +189,16 @@ def test_dictionary_with_many_first_words(spark, monkeypatch):
     few = sorted(map(tuple, resolve.dictionary_match(texts, "id", ["text"], dictionary).collect()))
     monkeypatch.setattr(resolve, "FIRST_WORDS", 3)
     assert few == sorted(map(tuple, resolve.dictionary_match(texts, "id", ["text"], dictionary).collect())) == [(1, "alone", "a"), (1, "wordc tail", "2")]
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_order_by_ranges_is_the_order_of_one_window(spark, falling):
+    from ledgerline.operators import ranks
+
+    rows = spark.range(700).select("id", F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 50).cast("double")).alias("v"), (F.col("id") % 4).alias("m")).withColumn("v", F.when(F.col("id") == 5, float("nan")).otherwise(F.col("v")))
+    one, many = (sorted(map(tuple, ranks.ordered(rows, "v", ["id"], measure="m", falling=falling, limit=limit).select("id", "_place", "_before", "_total").collect())) for limit in (1 << 40, 0))
+    assert one == many and len({r[1] for r in one}) == 700
+    empty = ranks.ordered(rows.where("false"), "v", limit=0)
+    assert empty.count() == 0
+    alike = ranks.ordered(rows.withColumn("v", F.lit(1.0)), "v", ["id"], limit=0)
+    assert sorted(r["_place"] for r in alike.collect()) == list(range(1, 701))
