@@ -19,7 +19,15 @@ LOCAL_SCRATCH = "ledgerline-scratch"
 WRITTEN: list[str] = []
 
 
+#: Spark's own sizes of the batches that travel to Python workers, and those set in their place.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder.  Batches are made smaller where the session has Spark's defaults: memory, not results, depends on them."""
+    for key, (default, smaller) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, smaller)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
