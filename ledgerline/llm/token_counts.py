@@ -7,7 +7,8 @@ worker, over the whole vocabulary - the strings that encode alone as a single to
 pre-tokens among them count 1 without any merge.  Only the rest goes through the merges of the
 library, each distinct string once while it stays in a bounded memo.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their count;
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows, and rows without an id, each
+get their count; an empty table gives an empty result;
 columns besides id and text are ignored, whatever their names.
 """
 
