@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ def backfill_from_parent(nodes: DataFrame, node: str, parent: str, columns: Sequ
     """Blank attributes filled from the nearest ancestor that has them; cycles and self-parents end without a value.
 
     Pointers double each round (a node's pointer jumps to its pointer's pointer), so ``rounds`` levels take
-    log2(rounds) joins.  Stops when a round fills nothing more.
+    log2(rounds) joins.  Stops when a round fills nothing more.  A round's state is a checkpoint, or kept on the
+    executors' disks where the session names no folder for checkpoints, so no round is computed twice.
     """
     own = [F.when(F.trim(c) != "", F.col(c)).alias(c) for c in columns]
     state = unique_by(nodes.select(F.col(node).alias("_n"), F.when(F.col(parent) != F.col(node), F.col(parent)).alias("_p"), *own), ["_n"])
@@ -24,17 +26,16 @@ def backfill_from_parent(nodes: DataFrame, node: str, parent: str, columns: Sequ
         up = state.select(F.col("_n").alias("_p"), F.col("_p").alias("_pp"), *(F.col(c).alias(f"_{c}") for c in columns))
         state = state.join(up, "_p", "left").select("_n", F.col("_pp").alias("_p"), *(F.coalesce(c, f"_{c}").alias(c) for c in columns))
         reach *= 2
-        if saved:
-            state = state.checkpoint()
-            if (now := state.agg(*(F.count(c) for c in columns)).first()) == have:
-                break
-            have = now
+        state = state.checkpoint() if saved else state.persist(StorageLevel.DISK_ONLY)
+        if (now := state.agg(*(F.count(c) for c in columns)).first()) == have:
+            break
+        have = now
     rest = [c for c in nodes.columns if c not in columns]
     return nodes.select(*rest).join(state.withColumnRenamed("_n", node).drop("_p"), node, "left").select(nodes.columns)
 
 
 def _checkpointed(df: DataFrame) -> bool:
-    """Whether the session has a folder for checkpoints; without one the plan of a few joins runs as it is."""
+    """Whether the session has a folder for checkpoints."""
     return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 

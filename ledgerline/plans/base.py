@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
+    def scratch(self, name: str) -> str:
+        """A path of its own in the folder of ``spark.checkpoint.dir``; a session on one machine without one uses a temporary folder."""
+        context = self.spark.sparkContext
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        return f"{(base or tempfile.gettempdir() + '/ledgerline-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

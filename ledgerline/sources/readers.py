@@ -104,7 +104,7 @@ def after_preamble(spark: SparkSession, path: str, skip: int, sep: str = ",") ->
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
 #: File names' endings of plain texts and of pages.
@@ -213,7 +213,7 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 def feature_attributes(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """The attributes of the features of GeoJSON files (such as areas with code, name, continent) as strings; shapes are left out."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     each = whole.select(F.explode(F.try_variant_get("v", "$.features", "array<variant>")).alias("f"))
     return each.select(*(F.try_variant_get("f", f"$.properties['{name}']", "string").alias(name) for name in fields))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, one_file: bool = False, quote_all: bool = False) -> None:
     """Delimited text with a header; ``one_file`` only for results that are small by nature (reports)."""
     out = df.coalesce(1) if one_file else df
-    flat = out.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes))
+    flat = out.select(*(F.to_json(f"`{c}`").alias(c) if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, kind in df.dtypes))
     flat.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 

@@ -90,7 +90,7 @@ def test_sheets_of_a_workbook(spark, tmp_path):
 
 def test_attributes_of_features(spark, tmp_path):
     features = [{"type": "Feature", "geometry": {"coordinates": [1, 2]}, "properties": {"iso": "PER", "name": "Peru", "n": 3}}, {"type": "Feature", "properties": {"iso": "FRA"}}]
-    (tmp_path / "w.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    (tmp_path / "w.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     assert [tuple(r) for r in readers.feature_attributes(spark, f"{tmp_path}/w.geojson", ["iso", "name", "n"]).collect()] == [("PER", "Peru", "3"), ("FRA", None, None)]
 
 
