@@ -41,8 +41,8 @@ from ledgerline.llm.vector_dedup import smallest
 WORDS, PERCENT = 5, 75
 TREES, MIN_DEPTH, DEPTH = 24, 3, 6
 SLACK = 5.5
-#: Classes of a tile where classes of different components meet by signatures; where they meet by sets, classes and bytes.
-TILE, SET_TILE, TILE_BYTES = 512, 2048, 16 << 20
+#: Classes of a tile where classes of different components meet, and bytes of their sets.
+TILE, TILE_BYTES = 512, 16 << 20
 SEED = 20_240_229
 MEMO = 100_000
 
@@ -337,7 +337,7 @@ def _settled(families: DataFrame, classes: DataFrame, sets: DataFrame, partition
         return x[:, 0], x[:, 1]
 
     sized = families.join(classes.select("id", "marks", "n"), "id")
-    tiles = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / SET_TILE), F.ceil(F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
+    tiles = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.col("n") * 8) / TILE_BYTES)).alias("tiles"))
     rows = sized.drop("n").join(tiles, "family").join(sets, "id")
     return _tiled(rows, "family", ("marks", "set"), partitions, solve, "a long, b long")
 

@@ -383,7 +383,6 @@ def test_minhash_dedup(spark, monkeypatch):
     comp = reach(near, sets)
     for tile in (2048, 3):
         monkeypatch.setattr(minhash_dedup, "TILE", tile)
-        monkeypatch.setattr(minhash_dedup, "SET_TILE", tile)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs_of(spark, texts)).collect()}
         assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
     one = minhash_dedup.one_of_each(docs_of(spark, texts))
