@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import small
 from ledgerline.operators.ranks import ordered
+from ledgerline.scratch import once
 
 
 def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, ties averaged.  Values are counted first, so only distinct ones are put in order."""
+    """Ranks from 1, ties averaged.  Values are counted first, so only distinct ones are put in order.
+
+    Ranks meet their rows by value, so ``df`` must give the same values each time it is computed (``scratch.once``).
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranks = ordered(counts, value, by=by, measure="_n").select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
@@ -27,6 +31,7 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """n and rank correlation of complete pairs."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    pairs = once(pairs, "pairs")
     ranked = average_ranks(average_ranks(pairs, "_x", "_rx", by), "_y", "_ry", by)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
@@ -65,6 +70,7 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = False) -> DataFrame:
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """H, corrected for ties, its degrees of freedom, and n."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).alias("_v"), F.col(group).alias("_g"))
+    rows = once(rows, "values")
     ranked = average_ranks(rows, "_v", "_r")
     sums = ranked.groupBy("_g").agg(F.sum("_r").alias("s"), F.count("*").alias("n")).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("n").alias("n"), F.count("*").alias("k"))
     ties = rows.groupBy("_v").agg(F.count("*").alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
@@ -76,14 +82,14 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 def signed_rank(df: DataFrame, x: str, y: str) -> DataFrame:
     """Wilcoxon signed-rank sums of paired differences; zero differences drop out."""
     diff = df.select((F.col(x) - F.col(y)).alias("_d")).where("_d is not null and _d != 0").withColumn("_a", F.abs("_d"))
-    ranked = average_ranks(diff, "_a", "_r")
+    ranked = average_ranks(once(diff, "differences"), "_a", "_r")
     plus, minus = (F.coalesce(F.sum(F.when(F.col("_d") * s > 0, F.col("_r"))), F.lit(0.0)) for s in (1, -1))
     return ranked.agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
 
 
 def rank_sum(df: DataFrame, value: str, group: str, first: str) -> DataFrame:
     """Mann-Whitney U of one group against all others."""
-    ranked = average_ranks(df.where(F.col(value).isNotNull()), value, "_r")
+    ranked = average_ranks(once(df.select(value, group).where(F.col(value).isNotNull()), "values"), value, "_r")
     mine = F.col(group) == first
     n1 = F.count_if(mine)
     return ranked.agg(n1.alias("n_first"), (F.count("*") - n1).alias("n_rest"), (F.sum(F.when(mine, F.col("_r"))) - n1 * (n1 + 1) / 2).alias("u"))

@@ -1,4 +1,5 @@
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from ledgerline.operators import agreement, dedup, extract, joins, nested, resolve, rules, sampling, stats, summaries
@@ -202,3 +203,22 @@ def test_order_by_ranges_is_the_order_of_one_window(spark, falling):
     assert empty.count() == 0
     alike = ranks.ordered(rows.withColumn("v", F.lit(1.0)), "v", ["id"], limit=0)
     assert sorted(r["_place"] for r in alike.collect()) == list(range(1, 701))
+
+
+def test_ranks_of_values_that_differ_when_computed_again(spark):
+    import random
+
+    noise = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(90).select((F.col("id") * 1.0).alias("x"), noise(F.col("id") * 2.0).alias("y"), F.when(F.col("id") < 30, "a").otherwise("b").alias("g"))
+    assert tuple(stats.spearman(rows, "x", "y").first()) == (90, pytest.approx(1))
+    assert stats.kruskal(rows, "y", "g").first()["h"] == pytest.approx(stats.kruskal(rows, "x", "g").first()["h"])
+    assert stats.rank_sum(rows, "y", "g", "b").first()["u"] == 1800 and stats.signed_rank(rows, "y", "x").first()["w_plus"] == 45 * 91
+
+
+def test_only_stored_rows_are_not_written_again(spark):
+    from ledgerline import scratch
+
+    stored = spark.read.parquet(f"{DATA}/orders.parquet").where("o_totalprice > 5").select((F.col("o_totalprice") / 2).alias("v"))
+    before = len(scratch.WRITTEN)
+    assert scratch.once(stored, "kept") is stored and len(scratch.WRITTEN) == before
+    assert scratch.once(stored.groupBy().sum("v"), "sums").count() == 1 and len(scratch.WRITTEN) == before + 1
