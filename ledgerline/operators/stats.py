@@ -38,10 +38,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, n, rho) for every pair of columns."""
-    out = None
+    out, df = None, once(df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(columns))), "columns")
     for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            one = spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
+        for j, b in enumerate(columns[i + 1 :], i + 1):
+            one = spearman(df, f"_{i}", f"_{j}").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
             out = one if out is None else out.unionByName(one)
     return out
 

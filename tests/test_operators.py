@@ -211,6 +211,7 @@ def test_ranks_of_values_that_differ_when_computed_again(spark):
     noise = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
     rows = spark.range(90).select((F.col("id") * 1.0).alias("x"), noise(F.col("id") * 2.0).alias("y"), F.when(F.col("id") < 30, "a").otherwise("b").alias("g"))
     assert tuple(stats.spearman(rows, "x", "y").first()) == (90, pytest.approx(1))
+    assert sorted(map(tuple, stats.spearman_matrix(rows.withColumn("z", -F.col("y")), ["x", "y", "z"]).collect())) == [("x", "y", 90, pytest.approx(1)), ("x", "z", 90, pytest.approx(-1)), ("y", "z", 90, pytest.approx(-1))]
     assert stats.kruskal(rows, "y", "g").first()["h"] == pytest.approx(stats.kruskal(rows, "x", "g").first()["h"])
     assert stats.rank_sum(rows, "y", "g", "b").first()["u"] == 1800 and stats.signed_rank(rows, "y", "x").first()["w_plus"] == 45 * 91
 
