@@ -143,15 +143,20 @@ def claims(df: DataFrame, key: str, text: str, model, schema: str) -> DataFrame:
     return df.select(key, text).mapInPandas(run, schema)
 
 
+#: All space characters of Unicode (category Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def keyword_claims(df: DataFrame, key: str, text: str, strong: Sequence[str], weak: Sequence[str], most: int = 3) -> DataFrame:
     """(key, is_claim, found, hedged, confidence, evidence): a deterministic stand-in for a language model, in the JVM.
 
     A claim is a sentence with a strong word; confidence falls with those of them that hold a weak word; the first
     ``most`` are the evidence.
     """
-    has = lambda s, words: F.coalesce(*(F.when(F.contains(F.lower(s), F.lit(w)), True) for w in words), F.lit(False))
+    # The dotted capital I becomes two characters in lower case otherwise.
+    has = lambda s, words: F.coalesce(*(F.when(F.contains(F.lower(F.translate(s, "\u0130", "i")), F.lit(w)), True) for w in words), F.lit(False))
     parts = F.split(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(" ")), r"\. ")
-    rows = df.select(F.col(key).alias("key"), F.transform(F.filter(parts, lambda s: has(s, strong)), F.trim).alias("f"))
+    rows = df.select(F.col(key).alias("key"), F.transform(F.filter(parts, lambda s: has(s, strong)), lambda s: F.trim(s, F.lit(SPACES))).alias("f"))
     found, hedged = F.size("f"), F.size(F.filter("f", lambda s: has(s, weak)))
     confidence = F.when(found > 0, 1 - hedged / (2 * found)).otherwise(0.0)
     return rows.select("key", (found > 0).alias("is_claim"), found.alias("found"), hedged.alias("hedged"), confidence.alias("confidence"), F.slice("f", F.lit(1), F.lit(most)).alias("evidence"))

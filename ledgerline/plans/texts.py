@@ -108,4 +108,5 @@ SELECT key, n > 0 AS is_claim, CAST(n AS INT) AS found, CAST(h AS INT) AS hedged
 )
 def _(t: Tables) -> DataFrame:
     out = extract.keyword_claims(t.documents, "doc_id", "text", ["thing"], ["is", "of"])
-    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("evidence", F.md5(F.array_join("evidence", "|")))
+    # As SQL rounds: the scaled number, not its decimals.
+    return out.withColumn("confidence", F.round(F.col("confidence") * 1e6) / 1e6).withColumn("evidence", F.md5(F.array_join("evidence", "|")))

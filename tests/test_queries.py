@@ -139,3 +139,15 @@ def test_dedup_keeps_documents_that_differ_late(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r["id"] for r in QUERIES["dedup_pipeline_kept"](spark, str(tmp_path)).collect()} == {2, 3}
     assert {r["stage"]: r["removed"] for r in QUERIES["dedup_stage_ledger"](spark, str(tmp_path)).collect()} == {"usable": 1, "text": 1, "language": 0, "letters": 1}
+
+
+def test_claims_in_odd_texts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    spaces = " \n\u00a0\u1680\u2000\u2003\u202f\u3000"
+    texts = [f"{c}thing is{c}. no" for c in f"{spaces}0\r\t\u200b\u180e"] + ["0. 1thing1. 2thing", "a th\u0130ng. x", "thing \u0130s. x", "  thing  .  of thing  ", "\r\nthing\r\n. b", ". ".join(["thing is"] * 307 + ["thing"] * 13), None, ""]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}), tmp_path / "documents.parquet")
+    df = QUERIES["claim_detection"](spark, str(tmp_path))
+    got, want = same_as_sql(df, ORACLES["claim_detection"], str(tmp_path))
+    assert got == want and df.where("found = 320").first()["confidence"] == 0.520312
