@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, shuffle_partitions, slices, table
+from ledgerline.llm.common import Bloom, cut, shuffle_partitions, slices, table
 
 LENGTH = 100
 GRAM = 32
@@ -297,6 +297,17 @@ def _halves(rows: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     return joined.select("id", "twin", "text", "spots").mapInArrow(run, "key long, id long, twin int, start long, bytes binary")
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with an id in ``ids``, and few others: dropped where they are read, so their texts are not shuffled."""
+    bloom = Bloom(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.passed(batch.column("spots")))).select(["id", "twin", "text"])
+
+    return rows.withColumn("spots", bloom.spots()).mapInArrow(run, "id long, twin int, text string")
+
+
 def _one_by_one(rows: DataFrame, stretched: DataFrame, length: int) -> DataFrame:
     """Repeated windows of the stretches in ``stretched``, as spots (id, twin, spot): all but the first of equal ones."""
 
@@ -312,7 +323,7 @@ def _one_by_one(rows: DataFrame, stretched: DataFrame, length: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high, low, np.full(len(at), key), np.full(len(at), twin, np.int32), at)], names=["high", "low", "id", "twin", "start"])
 
     spots = stretched.groupBy("id", "twin").agg(F.collect_list("spot").alias("spots"))
-    windows = rows.join(spots, ["id", "twin"]).select("id", "twin", "text", "spots").mapInArrow(run, "high long, low long, id long, twin int, start long")
+    windows = _likely(rows, stretched).join(spots, ["id", "twin"]).select("id", "twin", "text", "spots").mapInArrow(run, "high long, low long, id long, twin int, start long")
     windows = cut(windows, "windows")
     # Written, so that the join is one of two shuffles, whose hot keys AQE splits.
     firsts = cut(windows.groupBy("high", "low").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "window-firsts")

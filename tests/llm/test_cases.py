@@ -165,6 +165,13 @@ def test_one_header_before_many_bodies(spark, monkeypatch):
     assert {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(docs).collect()} == want
 
 
+def test_only_texts_with_hot_anchors_are_shuffled_for_them(spark):
+    rows = spark.range(2000).select("id", F.hash("id").alias("twin"), F.concat(F.lit("漢 "), "id").alias("text"))
+    wanted = rows.where("id % 100 = 7").select("id", "twin")
+    got = suffix_dedup._likely(rows, wanted)
+    assert got.join(wanted, ["id", "twin"]).count() == 20 and got.count() < 40 and got.exceptAll(rows.select("id", "twin", "text")).count() == 0
+
+
 # --- urls -----------------------------------------------------------------------------------------------------
 
 
